@@ -5,10 +5,11 @@ Everything but NFC is a built-in expression; NFC sends only the texts it could c
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,9 +43,13 @@ def _nfc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def nfc(c: Column) -> Column:
     """Unicode NFC. Only texts that may change cross into Python; the others travel as null and keep their value."""
-    risky = F.when(c.rlike(_NFC_MAY_CHANGE), c)
+    risky = F.when(~is_ascii(c) & c.rlike(_NFC_MAY_CHANGE), c)
     return F.coalesce(_nfc_batch(risky), c)
 
 
@@ -60,29 +65,59 @@ def unify_ellipsis(c: Column) -> Column:
     return F.regexp_replace(c, ELLIPSIS, "...")
 
 
+def _characters(ranges: str) -> str:
+    """The characters of a regular expression class, one by one."""
+    return "".join(chr(i) for i in range(0x10000) if re.match(f"[{_python_class(ranges)}]", chr(i)))
+
+
+def _python_class(ranges: str) -> str:
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", ranges)
+
+
+_BLANKS = _characters(BLANK)
+_INVISIBLES = _characters(INVISIBLE)
+
+
+def _single_spaced(c: Column, blanks: str) -> Column:
+    """One space for every run of blanks, none at the ends. Characters are mapped first; then only " " is searched."""
+    return F.trim(F.regexp_replace(F.translate(c, blanks, " " * len(blanks)), " {2,}", " "))
+
+
 def collapse_blanks(c: Column) -> Column:
     """Runs of blank and invisible characters become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"[{BLANK}{INVISIBLE}]+", " "))
+    return _single_spaced(c, _BLANKS + _INVISIBLES)
 
 
 def normalize_text(c: Column) -> Column:
-    """NFC, quotes, dashes, ellipsis, blanks; null becomes the empty string."""
-    return collapse_blanks(unify_ellipsis(unify_dashes(straighten_quotes(nfc(blank_to_empty(c))))))
+    """NFC, quotes, dashes, ellipsis, blanks; null becomes the empty string.
+
+    The single characters are disjoint from the ellipsis, so one pass maps them all.
+    """
+    blanks = _BLANKS + _INVISIBLES
+    mapped = F.translate(
+        nfc(blank_to_empty(c)), QUOTES + DASHES + blanks, STRAIGHT_QUOTES + "-" * len(DASHES) + " " * len(blanks)
+    )
+    return F.trim(F.regexp_replace(unify_ellipsis(mapped), " {2,}", " "))
+
+
+def _search(kind: str) -> str:
+    """An address always starts where its run of characters starts, so the search skips the middle of words."""
+    return r"(?<![a-zA-Z0-9._%+\-])" + EMAIL if kind == "email" else REDACTIONS[kind]
 
 
 def redact(c: Column, kinds: list[str] | None = None) -> Column:
     """Replace personal data in the order e-mail, phone, student id, URL."""
     for kind in kinds or list(REDACTIONS):
-        c = F.regexp_replace(c, REDACTIONS[kind], REDACTED)
+        c = F.regexp_replace(c, _search(kind), REDACTED)
     return c
 
 
 def redaction_count(c: Column) -> Column:
     """Number of replacements :func:`redact` makes, each kind counted on the text the earlier kinds left."""
     total = F.lit(0)
-    for pattern in REDACTIONS.values():
-        total = total + F.regexp_count(c, F.lit(pattern))
-        c = F.regexp_replace(c, pattern, REDACTED)
+    for kind in REDACTIONS:
+        total = total + F.regexp_count(c, F.lit(_search(kind)))
+        c = F.regexp_replace(c, _search(kind), REDACTED)
     return total
 
 
@@ -96,8 +131,17 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
+def _words(single: Column) -> Column:
+    return F.length(single) - _letters(single) + (single != "").cast("int")
+
+
+def _letters(single: Column) -> Column:
+    return F.length(F.replace(single, F.lit(" "), F.lit("")))
+
+
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{BLANK}]+"))
+    """Stretches without blanks: spaces of the single-spaced text plus one."""
+    return _words(_single_spaced(c, _BLANKS))
 
 
 def sentence_count(c: Column) -> Column:
@@ -107,23 +151,35 @@ def sentence_count(c: Column) -> Column:
 
 
 def mean_word_length(c: Column) -> Column:
-    words = word_count(c)
-    letters = F.length(F.regexp_replace(c, f"[{BLANK}]+", ""))
-    return F.when(words > 0, rounded(letters / words, 2)).otherwise(0.0)
+    return _mean_length(_single_spaced(c, _BLANKS))
 
 
-def length_features(c: Column) -> dict[str, Column]:
+def _mean_length(single: Column) -> Column:
+    return F.coalesce(rounded(F.try_divide(_letters(single).cast("double"), _words(single).cast("double")), 2), F.lit(0.0))
+
+
+def length_features(c: Column, single_spaced: bool = False) -> dict[str, Column]:
+    """Character, word and sentence count and mean word length; cheaper for text whose blanks are already collapsed."""
     return {
         "char_count": F.length(c),
-        "word_count": word_count(c),
+        "word_count": _words(c) if single_spaced else word_count(c),
         "sentence_count": sentence_count(c),
-        "avg_word_length": mean_word_length(c),
+        "avg_word_length": _mean_length(c) if single_spaced else mean_word_length(c),
     }
 
 
-def preprocess(df, text_col: str = "text_feedback"):
-    """Add text_processed, the length features and the id of the cleaning rules to a frame (batch or streaming)."""
-    cleaned = df.withColumn("text_processed", redact(normalize_text(F.col(text_col))))
-    return cleaned.withColumns(
-        {**length_features(F.col("text_processed")), "preprocess_spec_id": F.lit(PREPROCESS_SPEC_ID)}
-    )
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table of few files before costly text work; larger tables already have a task per core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def preprocess(df: DataFrame, text_col: str = "text_feedback") -> DataFrame:
+    """Add text_processed, the length features and the id of the cleaning rules to a frame (batch or streaming).
+
+    Cleaning leaves single spaces and redaction puts in none, so word counts are differences of lengths. Store the
+    result before filtering by a new column: Spark moves such a filter below the cleaning and cleans twice.
+    """
+    out = df.withColumn("text_processed", redact(normalize_text(F.col(text_col))))
+    features = length_features(F.col("text_processed"), single_spaced=True)
+    return out.withColumns({**features, "preprocess_spec_id": F.lit(PREPROCESS_SPEC_ID)})

@@ -16,7 +16,7 @@ from surveyloom.operators.profile import column_profile, segment_stats
 from surveyloom.operators.sampling import stratified_split
 from surveyloom.operators.versions import commit, fingerprint, read_standardized
 from surveyloom.plans.registry import query, r
-from surveyloom.session import scratch_path
+from surveyloom.session import scratch_path, settle
 from surveyloom.sources import files
 from surveyloom.sources.tables import ITEMS, LABELS, SURVEY_COLUMNS, results, survey, table
 
@@ -74,9 +74,10 @@ def not_blank(x: str) -> str:
     FROM feat WHERE lower(detail_level) <> 'short' AND char_count >= 100 GROUP BY language""",
 )
 def _flagship(spark, sf):
-    frame = T.preprocess(survey(spark, sf))
+    cleaned = T.preprocess(T.spread(survey(spark, sf).select("language", "detail_level", "text_feedback")))
+    features = settle(cleaned.select("language", "detail_level", "char_count", "word_count"), "features")
     rules = [{"col": "detail_level", "op": "ne", "val": "Short"}, {"col": "char_count", "op": "gte", "val": "100"}]
-    return segment_stats(P.filter_rows(frame, rules), "language", "word_count")
+    return segment_stats(P.filter_rows(features, rules), "language", "word_count")
 
 
 # --- scans and sinks ----------------------------------------------------------------------------------------------------

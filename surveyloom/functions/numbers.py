@@ -18,9 +18,12 @@ def not_nan(c: Column) -> Column:
 
 
 def rounded(c: Column, digits: int = 4) -> Column:
-    """floor(x * 10^d + 0.5) / 10^d: one rule that every engine evaluates alike, and cheaper than a decimal detour."""
+    """floor(x * 10^d + 0.5) / 10^d: one rule that every engine evaluates alike, and cheaper than a decimal detour.
+
+    What lies within a millionth of a half counts as a half, so the order of a sum does not decide a tie.
+    """
     scale = F.lit(float(10**digits))
-    return F.floor(c * scale + F.lit(0.5)) / scale
+    return F.floor(c * scale + F.lit(0.500001)) / scale
 
 
 def blank_to_empty(c: Column) -> Column:

@@ -323,6 +323,7 @@ def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows:
     chunks = F.greatest(F.lit(1), F.ceil(F.col("q") / F.lit(chunk_rows))).cast("int")
     sized = sizes.withColumn("chunks", chunks).drop("q")
     asking = crossing.join(sized, ["strip", "leaf"]).withColumn("chunk", F.pmod(F.hash("qx", "qy"), F.col("chunks")))
+    asking = settle(asking.select("qx", "qy", "strip", "leaf", "chunk"), "asking")
     offered = leafed.join(sized, ["strip", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def across(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:

@@ -35,7 +35,7 @@ from surveyloom.operators.profile import class_inflation, shares, training_profi
 from surveyloom.operators.ranks import top_per_group
 from surveyloom.operators.sampling import oversample, stratified_split
 from surveyloom.operators.schema import HEADERS, TEXT_NAMES, Roles, canonical, resolve_roles
-from surveyloom.session import settle
+from surveyloom.session import packed, settle, side_by_side
 
 # Vocabulary caps of the two feature families, and the label column of each task.
 MAX_FEATURES = {"tfidf": 50_000, "char_ngram": 100_000}
@@ -117,6 +117,7 @@ def train_classifier(
     max_features: int | None = None,
     C: float = 1.0,
     max_iter: int = 1000,
+    tol: float = 1e-3,
     balanced: bool = True,
     name: str | None = None,
 ) -> TextModel:
@@ -132,7 +133,8 @@ def train_classifier(
     size = vocab.count()
     number = _class_number(classes)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_class") + 1).cast("int"))
-    data = vectors(rows, size, key).join(rows.select(key, number.alias("_class")), key).withColumn("_weight", weight)
+    numbered = rows.select("indices", "values", number.alias("_class")).withColumn("_weight", weight)
+    data = packed(settle(vectors(numbered, size, "_class", "_weight"), "vectors"), n)
     fitted = LogisticRegression(
         featuresCol="features",
         labelCol="_class",
@@ -142,7 +144,7 @@ def train_classifier(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-4,
+        tol=tol,
     ).fit(data)
     return TextModel(
         name=name or f"{task}_{family}",
@@ -262,7 +264,7 @@ def warm_start(
         theta[:, start["idx"].to_numpy()] = np.array(start["w"].tolist()).T
     theta[:, size] = base.intercepts
     penalty = 1.0 / (C * n)
-    data = rows.select(_class_number(classes).cast("int").alias("y"), "indices", "values")
+    data = packed(rows.select(_class_number(classes).cast("int").alias("y"), "indices", "values"), n)
     spark = df.sparkSession
     look, momentum = theta.copy(), 1.0
     row_weight = np.array(weights)
@@ -361,12 +363,10 @@ def train_all(
     train: DataFrame, val: DataFrame, tasks: Iterable[str] = tuple(TASKS), families: Iterable[str] = ("tfidf", "char_ngram"), **options
 ) -> tuple[dict[tuple[str, str], TextModel], DataFrame]:
     """Every task with every feature family, independent of one another, on one stored frame."""
-    models, reports = {}, []
-    for task in tasks:
-        for family in families:
-            models[task, family], report = train_task(train, val, task, family, **options)
-            reports.append(report)
-    return models, reduce(DataFrame.unionByName, reports)
+    pairs = [(task, family) for task in tasks for family in families]
+    done = side_by_side([lambda p=p: train_task(train, val, *p, **options) for p in pairs])
+    models = {pair: model for pair, (model, _) in zip(pairs, done, strict=True)}
+    return models, reduce(DataFrame.unionByName, [report for _, report in done])
 
 
 def incompatibilities(model: TextModel, df: DataFrame, roles: Roles, assigned: bool = False) -> list[str]:

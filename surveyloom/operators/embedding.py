@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.numbers import rounded
 from surveyloom.operators.features import sparse_rows, tfidf, vectors, vocabulary, with_idf, word_terms
 from surveyloom.operators.schema import label_columns
-from surveyloom.session import settle
+from surveyloom.session import packed, settle, side_by_side
 
 MAX_DIMENSIONS = 4096
 
@@ -44,8 +44,8 @@ def project_texts(df: DataFrame, key: str, text: str, max_features: int = 512) -
     terms = settle(word_terms(df, key, text), "terms")
     vocab = settle(with_idf(vocabulary(terms, key, max_features), df), "vocabulary")
     rows = sparse_rows(tfidf(terms, vocab, key, max_features, sublinear=False), df, key)
-    packed = settle(vectors(rows, max(1, vocab.count()), key), "vectors")
-    points, shares = project(packed, key)
+    stored = settle(vectors(rows, max(1, vocab.count()), key), "vectors")
+    points, shares = project(stored, key)
     kept = label_columns(df)
     return points.join(df.select(key, *kept).fillna("", subset=kept), key), shares
 
@@ -65,13 +65,14 @@ def kmeans(points: DataFrame, k: int = 3, starts: int = 10, seed: int = 42) -> t
     """Add ``cluster``: the best of several k-means starts by total squared distance."""
     n = points.limit(max(1, k)).count()
     data = VectorAssembler(inputCols=["x", "y"], outputCol="_point").transform(points)
-    best = None
-    for i in range(starts):
-        model = KMeans(k=max(1, min(k, n)), seed=seed + i, featuresCol="_point", predictionCol="cluster").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0].transform(data).drop("_point"), best[1]
+    rows = packed(data, data.count())
+
+    def start(i: int):
+        model = KMeans(k=max(1, min(k, n)), seed=seed + i, featuresCol="_point", predictionCol="cluster").fit(rows)
+        return model.summary.trainingCost, i, model
+
+    cost, _, model = min(side_by_side([lambda i=i: start(i) for i in range(starts)]), key=lambda f: f[:2])
+    return model.transform(data).drop("_point"), cost
 
 
 def cluster_sizes(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:

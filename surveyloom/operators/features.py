@@ -76,11 +76,11 @@ def sparse_rows(weights: DataFrame, documents: DataFrame, key: str) -> DataFrame
     )
 
 
-def vectors(rows: DataFrame, size: int, key: str) -> DataFrame:
-    """(key, features) for pyspark.ml."""
+def vectors(rows: DataFrame, size: int, *keep) -> DataFrame:
+    """(keep, features) for pyspark.ml, in one small call per document."""
 
-    @F.udf(VectorUDT())
-    def pack(indices, values) -> SparseVector:
+    def pack(indices: list[int], values: list[float]) -> SparseVector:
         return Vectors.sparse(size, indices, values)
 
-    return rows.select(key, pack("indices", "values").alias("features"))
+    packed_row = F.udf(pack, VectorUDT())
+    return rows.select(*keep, packed_row("indices", "values").alias("features"))

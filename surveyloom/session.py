@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+R = TypeVar("R")
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
     """A session for tests and the bench; on a cluster the submitter's session is used as it is."""
@@ -54,3 +60,16 @@ def settle(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
+    """Fewer partitions for a small training table, where scheduling would cost more than each pass; large ones stay."""
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
+def side_by_side(steps: Sequence[Callable[[], R]], workers: int = 4) -> list[R]:
+    """Run independent fits from driver threads, so that one job's tasks fill the cores another leaves idle."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(steps)))) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        return [f.result() for f in futures]

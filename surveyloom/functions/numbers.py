@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def to_number(c: Column) -> Column:
@@ -12,6 +13,13 @@ def to_number(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A column as a number: text is parsed, numeric types are only widened."""
+    kind = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    return not_nan(c.cast("double")) if isinstance(kind, NumericType) else to_number(c)
+
+
 def not_nan(c: Column) -> Column:
     """NaN sorts above every number in Spark; treat it as missing instead."""
     return F.when(~F.isnan(c), c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveyloom.functions.numbers import blank_to_empty, clip, not_nan, rounded, safe_ratio, to_number
+from surveyloom.functions.numbers import clip, not_nan, number, rounded, safe_ratio, to_number
 from surveyloom.functions.text import is_blank
 from surveyloom.operators.predicates import short_text
 from surveyloom.operators.ranks import exact_quantiles
@@ -169,7 +169,7 @@ def regression_metrics(
 
 
 def residual_rows(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    pairs = df.select(to_number(F.col(y)).alias("y"), to_number(F.col(yhat)).alias("fitted"), F.lit("all").alias("_key"))
+    pairs = df.select(number(df, y).alias("y"), number(df, yhat).alias("fitted"), F.lit("all").alias("_key"))
     return pairs.dropna().withColumn("residual", F.col("y") - F.col("fitted"))
 
 

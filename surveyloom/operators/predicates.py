@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyloom.functions.numbers import blank_to_empty, to_number
+from surveyloom.functions.numbers import blank_to_empty, number
 from surveyloom.functions.text import is_blank, strip
 
 COMPARISONS = {
@@ -38,12 +38,12 @@ def rule_column(df: DataFrame, rule: Mapping[str, Any]) -> Column | None:
         return _folded(name).contains(str(value).lower())
     if op in COMPARISONS:
         try:
-            number = float(value)
+            wanted = float(value)
         except (TypeError, ValueError):
             return None
-        if number != number:
+        if wanted != wanted:
             return F.lit(False)
-        return F.coalesce(COMPARISONS[op](to_number(F.col(f"`{name}`")), F.lit(number)), F.lit(False))
+        return F.coalesce(COMPARISONS[op](number(df, name), F.lit(wanted)), F.lit(False))
     return None
 
 
@@ -111,7 +111,7 @@ def anomalies(df: DataFrame, text_col: str, threshold: float = 0.6, suffix: str
     """Rows with a low confidence or a blank text, with the reasons."""
     reasons = []
     for name in [c for c in df.columns if c.endswith(suffix)]:
-        conf = to_number(F.col(name))
+        conf = number(df, name)
         reasons.append(F.when(conf < threshold, F.format_string(f"low_confidence({name}=%.3f)", conf)))
     if text_col in df.columns:
         reasons.append(F.when(is_blank(F.col(text_col)), F.lit(f"empty_text({text_col})")))

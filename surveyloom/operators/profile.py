@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.intervals import t_bounds, wilson
-from surveyloom.functions.numbers import blank_to_empty, rounded, safe_ratio, to_number
+from surveyloom.functions.numbers import blank_to_empty, number, rounded, safe_ratio, to_number
 from surveyloom.functions.text import is_blank, word_count
 from surveyloom.operators.ranks import exact_quantiles, top_per_group, value_counts
 
@@ -23,6 +23,19 @@ def long_text(df: DataFrame, columns: list[str], ids: list[str] | None = None) -
     return df.select(*(ids or []), F.inline(cells))
 
 
+def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per cell: (column, value: empty text or null, num). Only text columns are parsed."""
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.when(F.col(f"`{c}`").isNotNull(), F.lit("")).alias("value"),
+            number(df, c).alias("num"),
+        )
+        for c in columns
+    ]
+    return df.select(F.inline(F.array(*cells)))
+
+
 def column_profile(df: DataFrame, row_idx: str, columns: list[str] | None = None, samples: int = 5) -> DataFrame:
     """Type, distinct non-null values, nulls, and the first values by row, for every column."""
     columns = columns or [c for c in df.columns if c != row_idx]
@@ -85,13 +98,12 @@ def summarize_long(cells: DataFrame, keys: list[str], few_keys: bool = True) ->
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, missing, mean, std, five numbers and the t interval for every column."""
-    return summarize_long(long_text(df, columns).withColumn("num", to_number(F.col("value"))), ["column"])
+    return summarize_long(long_numbers(df, columns), ["column"])
 
 
 def mean_interval(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean and its t interval for every column."""
-    cells = long_text(df, columns).withColumn("num", to_number(F.col("value")))
-    stats = cells.groupBy("column").agg(
+    stats = long_numbers(df, columns).groupBy("column").agg(
         F.count("num").alias("n"), F.avg("num").alias("_mean"), F.stddev_samp("num").alias("_std")
     )
     mean = F.coalesce("_mean", F.lit(0.0))
@@ -208,7 +220,7 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def segment_stats(df: DataFrame, group: str, metric: str, few_groups: bool = True) -> DataFrame:
     """count, mean, median and std of a coerced metric per group."""
-    rows = df.select(F.col(group).cast("string").alias("group"), to_number(F.col(metric)).alias("num")).where(
+    rows = df.select(F.col(group).cast("string").alias("group"), number(df, metric).alias("num")).where(
         F.col("num").isNotNull() & F.col("group").isNotNull()
     )
     stats = rows.groupBy("group").agg(

@@ -525,7 +525,7 @@ def _d13(spark, sf):
     'preprocess_v1' AS preprocess_spec_id FROM feat""",
 )
 def _d14(spark, sf):
-    done = T.preprocess(survey(spark, sf))
+    done = T.preprocess(T.spread(survey(spark, sf).select("survey_id", "text_feedback")))
     return done.select(
         "survey_id", F.md5("text_processed").alias("text_md5"), *T.length_features(F.col("x")), "preprocess_spec_id"
     )

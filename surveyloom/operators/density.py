@@ -236,10 +236,11 @@ def dbscan(points: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5)
 NEIGHBOUR = "qx double, qy double, x double, y double, w bigint, d double"
 
 
-def _leaves(places: DataFrame, leaf_rows: int) -> tuple[DataFrame, list[float]]:
+def _leaves(places: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
     """Cut the plane into strips of equal count by x and each strip into leaves of equal count by y.
 
-    Adds strip and leaf. Strip edges are a bounded list on the driver; leaf edges are one array per strip.
+    Returns the places with strip and leaf, and the leaf edges as one array per strip. Strip edges are a bounded list
+    on the driver.
     """
     n = places.count()
     strips = max(1, int(np.sqrt(n / leaf_rows)))
@@ -249,11 +250,12 @@ def _leaves(places: DataFrame, leaf_rows: int) -> tuple[DataFrame, list[float]]:
     striped = places.withColumn("strip", F.size(F.filter(edges, lambda e: e < F.col("x"))))
     grid = F.array(*[F.lit(i / (strips + 1)) for i in range(1, strips + 1)])
     marks = striped.groupBy("strip").agg(F.percentile_approx("y", grid, F.lit(max(1000, 5 * strips))).alias("marks"))
-    leafed = striped.join(F.broadcast(marks), "strip").withColumn("leaf", F.size(F.filter("marks", lambda e: e < F.col("y"))))
-    return leafed.drop("marks"), cuts
+    marks = settle(marks, "marks")
+    leafed = striped.join(marks, "strip").withColumn("leaf", F.size(F.filter("marks", lambda e: e < F.col("y"))))
+    return leafed.drop("marks"), marks
 
 
-def _nearest(qx, qy, x, y, w, first_w, k) -> list[tuple]:
+def _nearest(qx, qy, x, y, w, k) -> list[tuple]:
     """The k nearest rows of each query among weighted places, as places; ties by coordinates.
 
     A place that is the query itself counts one row less. Only as many places as reach k rows are returned.
@@ -285,13 +287,12 @@ def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows:
     First each leaf is searched on its own, which bounds the k-th distance. Then a place whose circle leaves its leaf
     asks the leaves it overlaps. Leaves hold a bounded number of distinct places, and their queries come in chunks.
     """
-    leafed, _ = _leaves(places.select("x", "y", "w"), leaf_rows)
+    leafed, marks = _leaves(places.select("x", "y", "w"), leaf_rows)
     leafed = settle(leafed, "leaves")
-    spark = places.sparkSession
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, w = (pdf[c].to_numpy() for c in ("x", "y", "w"))
-        rows = _nearest(x, y, x, y, w, None, k)
+        rows = _nearest(x, y, x, y, w, k)
         return pd.DataFrame(rows, columns=["qx", "qy", "x", "y", "w", "d"])
 
     local = settle(leafed.groupBy("strip", "leaf").applyInPandas(inside, NEIGHBOUR), "local")
@@ -313,7 +314,14 @@ def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows:
     )
     hit = F.filter(spans, lambda s: (s["lo"] <= F.col("qx") + F.col("r")) & (s["hi"] >= F.col("qx") - F.col("r")))
     asked = queries.select("*", F.explode(F.transform(hit, lambda s: s["strip"])).alias("strip"))
-    wide = asked.join(boxes, "strip")
+    # Leaves of a strip follow one another in y, so the circle meets a range of leaf numbers.
+    ranged = asked.join(marks, "strip").withColumns(
+        {
+            "_from": F.size(F.filter("marks", lambda e: e < F.col("qy") - F.col("r"))),
+            "_to": F.size(F.filter("marks", lambda e: e < F.col("qy") + F.col("r"))),
+        }
+    )
+    wide = ranged.drop("marks").withColumn("leaf", F.explode(F.sequence("_from", "_to"))).join(boxes, ["strip", "leaf"])
     gap_x = F.greatest(F.lit(0.0), F.col("x0") - F.col("qx"), F.col("qx") - F.col("x1"))
     gap_y = F.greatest(F.lit(0.0), F.col("y0") - F.col("qy"), F.col("qy") - F.col("y1"))
     away = (F.col("strip") != F.col("home")) | (F.col("leaf") != F.col("home_leaf"))
@@ -328,7 +336,7 @@ def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows:
 
     def across(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
         rows = _nearest(
-            ask["qx"].to_numpy(), ask["qy"].to_numpy(), offer["x"].to_numpy(), offer["y"].to_numpy(), offer["w"].to_numpy(), None, k
+            ask["qx"].to_numpy(), ask["qy"].to_numpy(), offer["x"].to_numpy(), offer["y"].to_numpy(), offer["w"].to_numpy(), k
         )
         return pd.DataFrame(rows, columns=["qx", "qy", "x", "y", "w", "d"])
 

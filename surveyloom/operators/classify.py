@@ -18,9 +18,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveyloom.functions.numbers import rounded, safe_ratio, softmax
+from surveyloom.functions.numbers import rounded, softmax
 from surveyloom.functions.text import PREPROCESS_SPEC_ID, is_blank, preprocess
-from surveyloom.operators.evaluate import classification_metrics, pair_counts, per_class
+from surveyloom.operators.evaluate import classification_metrics
 from surveyloom.operators.features import (
     MAX_BROADCAST_TERMS,
     TERM_FAMILIES,
@@ -34,7 +34,7 @@ from surveyloom.operators.predicates import trainable_rows
 from surveyloom.operators.profile import class_inflation, shares, training_profile
 from surveyloom.operators.ranks import top_per_group
 from surveyloom.operators.sampling import oversample, stratified_split
-from surveyloom.operators.schema import HEADERS, TEXT_NAMES, Roles, canonical, resolve_roles
+from surveyloom.operators.schema import TEXT_NAMES, Roles, canonical, resolve_roles
 from surveyloom.session import packed, settle, side_by_side
 
 # Vocabulary caps of the two feature families, and the label column of each task.

@@ -30,3 +30,69 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query(
+    "op3_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
+SELECT p.page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(p.d, 1 + 5 * CAST(floor(i / 4) AS INT), 5) AS BIGINT) >> (15 - 5 * CAST(i % 4 AS INT))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to,
+  1 AS n_requests
+FROM p JOIN f ON p.d = f.d""",
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from surveyloom.llm import warc
+
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.round_trip(spark, pages).select(
+        F.col("metadata.fields")["page-id"].cast(kind).alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        "response.record_type",
+        F.col("metadata.fields")["refers-to-page-id"].cast(kind).alias("refers_to"),
+        F.col("request").isNotNull().cast("int").alias("n_requests"),
+    )
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from surveyloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op10_e8_lattice")
+def op10_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyloom.llm import lattice
+
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_lattice_lm")
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from surveyloom.llm import lattice_lm
+
+    return lattice_lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from surveyloom.llm import pii
+
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")

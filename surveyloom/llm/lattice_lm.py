@@ -5,9 +5,9 @@ existing vocabulary counts: the forward recursion sums their probabilities in lo
 Piece probabilities are relative frequencies in the training texts, as the vocabulary's own tokenizer cuts them; characters without a piece fall back
 to byte pieces.
 
-Spark counts words first: each task merges its words before the shuffle, so a frequent word is one row per task. A distinct word is scored
-once. Texts are dealt into blocks by a hash of their id; a block asks only for its distinct words, and gets back their counts and
-probabilities, so no (document, word) row is ever shuffled and no vocabulary is broadcast.
+Spark counts words first: each task merges its words before the shuffle, so a frequent word is one row per task. Texts are dealt into blocks by a hash of their id; a block asks only
+for the counts of its distinct words, by 64-bit hashes, and runs the recursion once for each of them, so no (document, word) row is ever
+shuffled and no word table is broadcast.
 
 Defined results: a null or empty text is the end alone; repeated rows count as often as they occur; a null id is held out; with no training text
 every piece is equally likely and the base score is over an empty count table; a very long word is one row; other columns are not read.
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from surveyloom.session import settle
 
 START = "▁"
 #: Characters of text in a block.
-BLOCK_CHARS = 6 << 20
+BLOCK_CHARS = 10 << 20
 #: Distinct words a task gathers before it passes them on.
 WORDS_HELD = 500_000
 
@@ -40,6 +41,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def name_of(word: bytes) -> int:
+    """Spark's ``xxhash64`` of the word: what blocks ask by."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def held_out(id_column: Column) -> Column:
     return F.coalesce(crc_bucket(id_column, 7) == 2, F.lit(True))
 
@@ -208,21 +215,13 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     log_end = float(log_p[own.size])
     shipped = docs.sparkSession.sparkContext.broadcast(log_p)  # one number per piece
 
-    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [START + w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            p = forward(held, pieces(vocabulary_path), shipped.value)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(p)], names=["word", "c", "p"])
-
-    weighed = settle(words.mapInArrow(weigh, "word binary, c long, p double"), "weighed-words")
-
     blocks = max(1, math.ceil((size["chars"] or 0) / BLOCK_CHARS))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition("block")
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[pa.RecordBatch]:
             for block, found in wanted.items():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(found), pa.int32()), "h": pa.array(map(name_of, found), pa.int64())})
             wanted.clear()
 
         wanted: dict[int, set] = {}
@@ -233,22 +232,26 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield from rows()
         yield from rows()
 
-    answers = dealt.select("text", "block").mapInArrow(ask, "block int, word binary").join(weighed, "word").select("block", "word", "c", "p")
+    # reads the very columns the texts' own exchange has, so that exchange is made once
+    counts_of = words.where("c > 0").select(F.xxhash64("word").alias("h"), "c")
+    answers = dealt.mapInArrow(ask, "block int, h long").join(counts_of, "h").select("block", "h", "c")
     log10 = math.log(10)
 
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
-        per_word: dict[bytes, tuple[float, float, int]] = {}
-        if found.num_rows:
-            counts = found["c"].to_numpy()
-            base = np.log10((counts + 1) / (n_train + v_train + 1))
-            per_word = dict(zip(found["word"].to_pylist(), zip(base.tolist(), found["p"].to_pylist(), (counts > 0).tolist(), strict=True), strict=True))
+        count_of = dict(zip(found["h"].to_pylist(), found["c"].to_pylist(), strict=True))
+        held = [words_of(t) for t in texts["text"].to_pylist()]
+        own = list({w for ws in held for w in ws})
+        c = np.array([count_of.get(name_of(w), 0) for w in own], np.int64)
+        p = forward([START + w.decode("utf-8", "replace") for w in own], pieces(vocabulary_path), shipped.value)
+        base = np.log10((c + 1) / (n_train + v_train + 1))
+        per_word = dict(zip(own, zip(base.tolist(), p.tolist(), (c > 0).tolist(), strict=True), strict=True))
         end = (math.log10((ends + 1) / (n_train + v_train + 1)), log_end, ends > 0)
-        out: dict[str, list] = {"doc_id": texts["doc_id"].to_pylist(), "held_out": texts["held_out"].to_pylist(), "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []}
-        for text in texts["text"].to_pylist():
-            base, p, seen = zip(*[per_word[w] for w in words_of(text)], end, strict=True)
+        out: dict[str, list] = {"doc_id": texts["doc_id"].to_pylist(), "held_out": texts["held_out"].to_pylist()}
+        out |= {"n_tokens": [], "n_known": [], "train_tokens": [n_train] * len(held), "base_score": [], "score": []}
+        for ws in held:
+            base, p, seen = zip(*[per_word[w] for w in ws], end, strict=True)
             out["n_tokens"].append(len(p))
             out["n_known"].append(sum(seen))
-            out["train_tokens"].append(n_train)
             out["base_score"].append(math.fsum(base))
             out["score"].append(math.fsum(p) / log10)
         return pa.Table.from_pydict(out)

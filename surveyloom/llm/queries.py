@@ -37,7 +37,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
 SELECT p.page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((CAST('0x' || substr(p.d, 1 + 5 * CAST(floor(i / 4) AS INT), 5) AS BIGINT) >> (15 - 5 * CAST(i % 4 AS INT))) & 31)::INT, 1)), '') AS payload_digest,
   CASE WHEN p.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to,
@@ -96,3 +96,48 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op4_decontamination",
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, ws, least(13, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+k AS (SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s FROM i)),
+o AS (SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS t
+  FROM (SELECT doc_id, ws, n, unnest(range(1, CAST(len(ws) - n + 2 AS BIGINT))) AS s FROM w, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n)),
+m AS (SELECT doc_id, o.n, s, item_id FROM o JOIN k ON o.n = k.n AND o.t = k.t),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN h ON w.doc_id = h.doc_id LEFT JOIN t ON w.doc_id = t.doc_id""",
+)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from surveyloom.llm import decontaminate
+
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query("op9_weighted_minhash")
+def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyloom.llm import weighted_minhash
+
+    return weighted_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from surveyloom.llm import suffix_dedup
+
+    found = suffix_dedup.remove(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -141,3 +141,14 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = suffix_dedup.remove(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op1_chat_hmm")
+def op1_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from surveyloom.llm import chat
+
+    lines = chat.conversation_lines(table(spark, sf_dir, "conversations"))
+    model = chat.fit(lines.where(~chat.held_out(F.col("conv_id"))))
+    return chat.recover(lines.drop("role"), model).withColumn("held_out", chat.held_out(F.col("conv_id")))

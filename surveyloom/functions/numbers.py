@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 
+#: Doubles of this size and more are whole numbers.
+WHOLE_FROM = float(1 << 52)
+
+
 def to_number(c: Column) -> Column:
     """Text to double; anything that is not a finite-or-infinite number becomes null (NaN included)."""
     value = F.trim(c.cast("string")).try_cast("double")
@@ -28,10 +32,13 @@ def not_nan(c: Column) -> Column:
 def rounded(c: Column, digits: int = 4) -> Column:
     """floor(x * 10^d + 0.5) / 10^d: one rule that every engine evaluates alike, and cheaper than a decimal detour.
 
-    What lies within a millionth of a half counts as a half, so the order of a sum does not decide a tie.
+    What lies within a millionth of a half counts as a half, so the order of a sum does not decide a tie. From 2^52 on the scaled number
+    has no fraction left, and its floor would leave the 64 bits of an integer: such values, infinities and NaN stay as they are.
     """
     scale = F.lit(float(10**digits))
-    return F.floor(c * scale + F.lit(0.500001)) / scale
+    value = c.cast("double")
+    scaled = value * scale
+    return F.when(F.abs(scaled) >= F.lit(WHOLE_FROM), value).otherwise(F.floor(scaled + F.lit(0.500001)) / scale)
 
 
 def blank_to_empty(c: Column) -> Column:

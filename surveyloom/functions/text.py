@@ -169,9 +169,22 @@ def length_features(c: Column, single_spaced: bool = False) -> dict[str, Column]
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share out a table of few files before costly text work; larger tables already have a task per core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Share out a table of few small files before costly text work; larger tables already have a task per core.
+
+    Only file names and lengths are looked at, so nothing runs.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    configuration = spark._jsc.hadoopConfiguration()
+    size = 0
+    for name in files:  # fewer than there are cores
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(configuration).getFileStatus(path).getLen()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * split else df
 
 
 def preprocess(df: DataFrame, text_col: str = "text_feedback") -> DataFrame:

@@ -218,7 +218,7 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
     return cells.groupBy("column", blank_to_empty(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def segment_stats(df: DataFrame, group: str, metric: str, few_groups: bool = True) -> DataFrame:
+def segment_stats(df: DataFrame, group: str, metric: str, few_groups: bool = False) -> DataFrame:
     """count, mean, median and std of a coerced metric per group."""
     rows = df.select(F.col(group).cast("string").alias("group"), number(df, metric).alias("num")).where(
         F.col("num").isNotNull() & F.col("group").isNotNull()

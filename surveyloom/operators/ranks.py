@@ -10,11 +10,26 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from surveyloom.session import settle
+
 
 def bucket_count(df: DataFrame, per_partition: int = 4) -> int:
     return max(8, min(4096, per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def piece_count(df: DataFrame) -> int:
+    """Ranges of distinct values: as many as there are shuffle partitions, 64 at least, in whole steps of eight."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(64, min(2048, -(-wanted // 8) * 8))
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """1-based position of every row in a total order: rows are dealt by ranges of the order, and a range starts where those before it end."""
+    n = bucket_count(df, 1)
+    placed = settle(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return ranked_in_group(placed, [], F.col("_range"), order, name).drop("_range")
+
+
 def ranked_in_group(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """1-based row number within each group.
 
@@ -87,8 +102,9 @@ def _placed(counts: DataFrame, keys: list[str], few_keys: bool, buckets: int) ->
     return joined.withColumn("_bucket", F.col("_c") * step + fine).drop("_edges", "_coarse", "_c")
 
 
-def cumulative(counts: DataFrame, keys: list[str], few_keys: bool = True, buckets: int = 64) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str], few_keys: bool = True, buckets: int | None = None) -> DataFrame:
     """Add _before, the number of rows with a smaller value, to a value-count table."""
+    buckets = buckets or piece_count(counts)
     placed = _placed(counts, keys, few_keys, buckets)
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,14 +129,19 @@ def exact_quantiles(
     value: Column,
     probs: list[float],
     few_keys: bool = True,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per key as columns q0, q1, ...; no group is held in memory.
 
     Value ranges locate the wanted ranks; only the ranges that hold one are sorted. ``few_keys`` says that the keys
     have a known bound (column names, classes) so that the per-key edges may be broadcast.
     """
-    counts = value_counts(df, keys, value)
+    return quantiles_of_counts(value_counts(df, keys, value), keys, probs, few_keys, buckets)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], probs: list[float], few_keys: bool = True, buckets: int | None = None) -> DataFrame:
+    """The same from a table of (keys, _v, _n)."""
+    buckets = buckets or piece_count(counts)
     placed = _placed(counts, keys, few_keys, buckets)
     sizes = placed.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     by_key = Window.partitionBy(*keys)

@@ -693,15 +693,13 @@ def sort_order(column: str, ascending: bool = True, numeric: bool = False, row_i
 
 @query(
     "m1_text_sort",
-    """SELECT row_idx, sentiment_conf, row_number() OVER (ORDER BY CAST(sentiment_conf AS VARCHAR) DESC NULLS LAST, row_idx) AS position FROM results
-    ORDER BY position LIMIT 200""",
+    """SELECT row_idx, sentiment_conf, row_number() OVER (ORDER BY CAST(sentiment_conf AS VARCHAR) DESC NULLS LAST, row_idx) AS position FROM results""",
 )
 def _m1(spark, sf):
-    from pyspark.sql import Window
+    from surveyloom.operators.ranks import positions
 
-    ordered = results(spark, sf).orderBy(*sort_order("sentiment_conf", ascending=False)).limit(200)
-    whole = Window.partitionBy(F.lit(1)).orderBy(*sort_order("sentiment_conf", ascending=False))
-    return ordered.select("row_idx", "sentiment_conf", F.row_number().over(whole).alias("position"))
+    rows = results(spark, sf).select("row_idx", "sentiment_conf")
+    return positions(rows, sort_order("sentiment_conf", ascending=False), "position")
 
 
 @query(

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def r(x: str, digits: int = 4) -> str:
     """The library's rounding rule in SQL."""
-    return f"(floor(({x})*1e{digits}+0.500001)/1e{digits})"
+    return f"(CASE WHEN abs(({x})*1e{digits}) >= 4503599627370496 THEN ({x})::DOUBLE ELSE floor(({x})*1e{digits}+0.500001)/1e{digits} END)"
 
 
 _E = "CAST(e.embedding[{}] AS DOUBLE)"

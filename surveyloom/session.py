@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -31,25 +32,49 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster is refused,
+    since its executors would each write to their own disk.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
+        return configured
     current = context.getCheckpointDir()
     if current is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="surveyloom-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder all executors of {context.master} share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="surveyloom-"))
         current = context.getCheckpointDir()
-    return configured or current
+    return current
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_RUN_DIRS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it goes when Python ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _RUN_DIRS:
+        _RUN_DIRS[application] = f"{shared_dir(spark).rstrip('/')}/run-{application}-{uuid.uuid4().hex[:8]}"
+        atexit.register(drop_run_dir, spark, _RUN_DIRS[application])
+    return _RUN_DIRS[application]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, and later steps do not recompute what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_run_dir(spark: SparkSession, path: str) -> None:
+    """Delete a run's folder through the file system it lies in; without a session to do it the folder stays."""
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the gateway may be gone by now
+        return
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table in the shared folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str = "step") -> DataFrame:

@@ -41,6 +41,16 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.when(F.abs(scaled) >= F.lit(WHOLE_FROM), value).otherwise(F.floor(scaled + F.lit(0.500001)) / scale)
 
 
+#: Characters from which a level is grouped by its digest.
+LONG_LEVEL = 64
+
+
+def level_key(c: Column) -> Column:
+    """What a text is grouped by where only equality counts: itself while it is short, else its SHA-256, so whole texts are not shuffled."""
+    text = c.cast("string")
+    return F.when(F.length(text) > LONG_LEVEL, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
+
 def blank_to_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 

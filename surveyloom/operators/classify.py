@@ -22,8 +22,9 @@ from surveyloom.functions.numbers import rounded, softmax
 from surveyloom.functions.text import PREPROCESS_SPEC_ID, is_blank, preprocess
 from surveyloom.operators.evaluate import classification_metrics
 from surveyloom.operators.features import (
-    MAX_BROADCAST_TERMS,
     TERM_FAMILIES,
+    join_terms,
+    most_frequent,
     sparse_rows,
     tfidf,
     vectors,
@@ -134,7 +135,7 @@ def train_classifier(
     number = _class_number(classes)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_class") + 1).cast("int"))
     numbered = rows.select("indices", "values", number.alias("_class")).withColumn("_weight", weight)
-    data = packed(settle(vectors(numbered, size, "_class", "_weight"), "vectors"), n)
+    data = packed(vectors(numbered, size, "_class", "_weight"), n)
     fitted = LogisticRegression(
         featuresCol="features",
         labelCol="_class",
@@ -173,9 +174,7 @@ def logits(model: TextModel, df: DataFrame, key: str) -> DataFrame:
 
 
 def _raw_entries(model: TextModel, df: DataFrame, key: str) -> DataFrame:
-    small = model.weights.select("term", "idf", "w")
-    small = F.broadcast(small) if model.max_features <= MAX_BROADCAST_TERMS else small
-    joined = model.terms(df, key).join(small, "term")
+    joined = join_terms(model.terms(df, key), model.weights.select("term", "idf", "w"), model.max_features)
     return joined.withColumn("_raw", (F.log("tf") + 1.0) * F.col("idf"))
 
 
@@ -215,7 +214,10 @@ def local_contributions(entries: DataFrame, weights: DataFrame, predicted: DataF
 
     ``entries`` is (key, term, value), ``weights`` (class, term, weight), ``predicted`` (key, pred).
     """
-    joined = entries.join(predicted.select(key, F.col("pred").alias("class")), key).join(weights, ["class", "term"])
+    # all classes' weights of a term are one row, so a term that one class uses everywhere is spread like any other
+    by_term = settle(weights.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("class", "weight"))).alias("_weights")), "term-weights")
+    joined = join_terms(entries.join(predicted.select(key, F.col("pred").alias("class")), key), by_term)
+    joined = joined.withColumn("weight", F.try_element_at("_weights", F.col("class"))).where(F.col("weight").isNotNull())
     scored = joined.withColumn("contribution", F.col("value") * F.col("weight"))
     ranked = top_per_group(scored, [key], [F.desc(F.abs("contribution")), F.asc("term")], top_n)
     return ranked.select(
@@ -239,19 +241,57 @@ def explain_rows(model: TextModel, df: DataFrame, key: str = "survey_id", top_n:
     )
 
 
+def _descend(cost: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, max_iter: int, tol: float, memory: int = 8) -> tuple[np.ndarray, bool, int]:
+    """Limited-memory quasi-Newton steps until the gradient is ``tol`` of the first one; each step costs one pass, or a few where it must be shortened."""
+    value, gradient = cost(theta)
+    first = np.sqrt((gradient**2).sum())
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for step in range(max_iter):
+        if np.sqrt((gradient**2).sum()) <= tol * first:
+            return theta, True, step
+        direction, kept = gradient.copy(), []
+        for moved, change, inverse in reversed(pairs):
+            share = inverse * (moved * direction).sum()
+            kept.append(share)
+            direction -= share * change
+        if pairs:
+            moved, change, inverse = pairs[-1]
+            direction /= inverse * (change**2).sum()
+        else:
+            direction /= max(1.0, first)
+        for (moved, change, inverse), share in zip(pairs, reversed(kept), strict=True):
+            direction += (share - inverse * (change * direction).sum()) * moved
+        slope, length = (gradient * direction).sum(), 1.0
+        while True:
+            tried = theta - length * direction
+            new_value, new_gradient = cost(tried)
+            if new_value <= value - 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        if length < 1e-6:
+            return theta, False, step
+        moved, change = tried - theta, new_gradient - gradient
+        if (moved * change).sum() > 1e-12:
+            pairs = [*pairs, (moved, change, 1.0 / (moved * change).sum())][-memory:]
+        theta, value, gradient = tried, new_value, new_gradient
+    return theta, False, max_iter
+
+
 def warm_start(
     base: TextModel,
     df: DataFrame,
     label: str,
     key: str = "survey_id",
     C: float = 1.0,
-    iterations: int = 50,
+    max_iter: int = 1000,
+    tol: float = 1e-3,
     balanced: bool = True,
 ) -> TextModel | None:
     """Continue from another model's weights on new rows; None when the classes differ.
 
-    Weights carry over by term. Each accelerated gradient step is one pass over the rows: a task adds up its part of
-    the gradient, and the parts, each classes x capped vocabulary, are summed in two stages.
+    Weights carry over by term. Each step is one pass over the rows: a task adds up its part of loss and
+    gradient, and the parts, each classes x capped vocabulary, are summed in two stages. Steps end when the gradient has shrunk to ``tol`` of the
+    first one; ``metrics`` says whether that was reached within ``max_iter``.
     """
     vocab, rows = _training_frame(df, key, base.text_column, label, base.family, base.max_features)
     classes, weights, n = _class_weights(rows, balanced)
@@ -266,37 +306,47 @@ def warm_start(
     penalty = 1.0 / (C * n)
     data = packed(rows.select(_class_number(classes).cast("int").alias("y"), "indices", "values"), n)
     spark = df.sparkSession
-    look, momentum = theta.copy(), 1.0
     row_weight = np.array(weights)
-    step = 1.0 / (float(row_weight.max()) + penalty)
-    for _ in range(iterations):
-        shipped = spark.sparkContext.broadcast(look)
 
-        def part(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
+    def cost(at: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss and its gradient: one pass over the rows."""
+        shipped = spark.sparkContext.broadcast(at)
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = shipped.value
-            gradient = np.zeros_like(w)
+            loss, gradient = 0.0, np.zeros_like(w)
             for pdf in batches:
-                for y, indices, values in zip(pdf["y"], pdf["indices"], pdf["values"], strict=True):
-                    z = w[:, indices] @ values + w[:, -1]
-                    p = np.exp(z - z.max())
-                    p /= p.sum()
-                    p[y] -= 1.0
-                    p *= row_weight[y]
-                    gradient[:, indices] += np.outer(p, values)
-                    gradient[:, -1] += p
-            yield pd.DataFrame({"g": [gradient.ravel()]})
+                if not len(pdf):
+                    continue
+                y = pdf["y"].to_numpy()
+                row = np.repeat(np.arange(len(pdf)), pdf["indices"].map(len).to_numpy())
+                indices, values = (np.concatenate(pdf[c].to_list()) for c in ("indices", "values"))
+                indices = indices.astype(np.int64)
+                z = np.stack([np.bincount(row, c[indices] * values, len(pdf)) + c[-1] for c in w], axis=1)
+                z -= z.max(axis=1, keepdims=True)
+                p = np.exp(z)
+                total = p.sum(axis=1, keepdims=True)
+                place = np.arange(len(y))
+                loss += float((row_weight[y] * (np.log(total[:, 0]) - z[place, y])).sum())
+                p /= total
+                p[place, y] -= 1.0
+                p *= row_weight[y][:, None]
+                for c in range(len(w)):
+                    gradient[c, :-1] += np.bincount(indices, p[row, c] * values, w.shape[1] - 1)
+                gradient[:, -1] += p.sum(axis=0)
+            yield pd.DataFrame({"g": [np.append(gradient.ravel(), loss)]})
 
         parts = data.mapInPandas(part, "g array<double>").select(
             array_to_vector("g").alias("g"), F.pmod(F.spark_partition_id(), F.lit(32)).alias("stage")
         )
         staged = parts.groupBy("stage").agg(Summarizer.sum(F.col("g")).alias("g"))
-        total = staged.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"].toArray().reshape(theta.shape) / n
+        found = staged.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"].toArray() / n
         shipped.destroy()
-        total[:, :-1] += penalty * look[:, :-1]
-        new = look - step * total
-        following = (1.0 + np.sqrt(1.0 + 4.0 * momentum * momentum)) / 2.0
-        look = new + (momentum - 1.0) / following * (new - theta)
-        theta, momentum = new, following
+        gradient = found[:-1].reshape(at.shape)
+        gradient[:, :-1] += penalty * at[:, :-1]
+        return float(found[-1] + penalty / 2 * (at[:, :-1] ** 2).sum()), gradient
+
+    theta, converged, steps = _descend(cost, theta, max_iter, tol)
     return TextModel(
         name=f"{base.name}_warm",
         task=base.task,
@@ -304,6 +354,7 @@ def warm_start(
         classes=classes,
         weights=_weight_table(vocab, theta[:, :-1]),
         intercepts=theta[:, -1].tolist(),
+        metrics={"converged": converged, "steps": steps},
         max_features=base.max_features,
         text_column=base.text_column,
         preprocess_spec=base.preprocess_spec,
@@ -476,16 +527,16 @@ def training_job(
     return out
 
 
-def language_profiles(df: DataFrame, label: str, key: str, text: str, max_features: int = 20_000) -> DataFrame:
+def language_profiles(df: DataFrame, label: str, key: str, text: str, max_features: int | None = None) -> DataFrame:
     """(term, scores): log-probability of each character trigram in every language, add-one smoothed.
 
-    The classes are the labels of the rows, in order; the number of trigrams is capped like a vocabulary.
+    The classes are the labels of the rows, in order. Every trigram counts unless ``max_features`` keeps the most frequent ones.
     """
     languages = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
     terms = TERM_FAMILIES["char_ngram"](df, key, text, 3, 3).join(df.select(key, label), key)
     per = [F.sum(F.when(F.col(label) == l, F.col("tf")).otherwise(0)).alias(f"_c{i}") for i, l in enumerate(languages)]
     counts = terms.groupBy("term").agg(F.sum("tf").alias("total"), *per)
-    kept = counts.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    kept = settle(counts, "trigrams") if max_features is None else most_frequent(counts, max_features)
     totals = kept.agg(F.count(F.lit(1)).alias("_v"), *[F.sum(f"_c{i}").alias(f"_t{i}") for i in range(len(languages))])
     from surveyloom.operators.common import with_scalars
 
@@ -496,7 +547,7 @@ def language_profiles(df: DataFrame, label: str, key: str, text: str, max_featur
 def detect_language(df: DataFrame, profiles: DataFrame, languages: list[str], key: str, text: str, default: str = "mixed") -> DataFrame:
     """(key, pred): the language whose profile gives the text the highest log-probability; blank texts get the default."""
     terms = TERM_FAMILIES["char_ngram"](df, key, text, 3, 3)
-    sums = terms.join(F.broadcast(profiles), "term").groupBy(key).agg(
+    sums = join_terms(terms, profiles).groupBy(key).agg(
         *[F.sum(F.col("tf") * F.col("scores")[i]).alias(f"_s{i}") for i in range(len(languages))]
     )
     totals = F.array(*[rounded(F.col(f"_s{i}"), 6) for i in range(len(languages))])

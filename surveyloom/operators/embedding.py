@@ -2,41 +2,87 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numbers import rounded
-from surveyloom.operators.features import sparse_rows, tfidf, vectors, vocabulary, with_idf, word_terms
+from surveyloom.operators.features import MAX_BROADCAST_TERMS, sparse_rows, tfidf, vocabulary, with_idf, word_terms
 from surveyloom.operators.schema import label_columns
 from surveyloom.session import packed, settle, side_by_side
 
-MAX_DIMENSIONS = 4096
+#: Extra directions and passes of the subspace iteration.
+EXTRA, PASSES = 8, 6
 
 
-def project(rows: DataFrame, key: str, features: str = "features") -> tuple[DataFrame, list[float]]:
+def project(rows: DataFrame, key: str, size: int, passes: int = PASSES) -> tuple[DataFrame, list[float]]:
     """(key, x, y): centred coordinates on the first two principal components, and their shares of variance.
 
-    The covariance is dimensions x dimensions on the driver, so wide vectors are refused. Each component is turned so
-    that its largest weight is positive.
+    ``rows`` holds sparse vectors of ``size`` numbers as ``indices`` and ``values``. Subspace iteration: a few random directions are multiplied by
+    the covariance again and again, each time as a sum over rows, so no matrix is wider than those directions, whatever the size. Each component
+    is turned so that its largest weight is positive.
     """
-    size = len(rows.select(vector_to_array(features).alias("v")).first()["v"])
-    if size > MAX_DIMENSIONS:
-        raise ValueError(f"{size} dimensions: reduce the vocabulary below {MAX_DIMENSIONS}")
     k = min(2, size)
-    model = PCA(k=k, inputCol=features, outputCol="_pc").fit(rows)
-    loadings = model.pc.toArray()
-    mean = rows.agg(Summarizer.mean(F.col(features)).alias("m")).first()["m"].toArray()
-    turn = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]
+    width = min(size, k + EXTRA)
+    data = settle(rows.select(key, "indices", "values"), "sparse")
+    cells = data.select(F.inline(F.arrays_zip("indices", "values")))
+    sums = cells.groupBy("indices").agg(F.sum("values").alias("s"), F.sum(F.col("values") * F.col("values")).alias("q")).toPandas()
+    n = max(1, data.count())
+    mean, square = np.zeros(size), np.zeros(size)
+    mean[sums["indices"].to_numpy(int)], square[sums["indices"].to_numpy(int)] = sums["s"] / n, sums["q"]
+    total = float(square.sum() - n * (mean * mean).sum())
+    spark = rows.sparkSession
+
+    def passed(q: np.ndarray, small: bool) -> np.ndarray:
+        """Covariance times ``q`` (size x width), or with ``small`` what it is inside the span of ``q`` (width x width); not divided by n."""
+        shipped = spark.sparkContext.broadcast((q, mean @ q))
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q, shift = shipped.value
+            out = np.zeros((q.shape[1], q.shape[1]) if small else q.shape)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                lengths = pdf["indices"].map(len).to_numpy()
+                row = np.repeat(np.arange(len(pdf)), lengths)
+                indices = np.concatenate(pdf["indices"].to_list()).astype(np.int64)
+                values = np.concatenate(pdf["values"].to_list())
+                seen = np.stack([np.bincount(row, q[indices, c] * values, len(pdf)) for c in range(q.shape[1])], axis=1) - shift
+                if small:
+                    out += seen.T @ seen
+                else:  # the mean's own part falls away, since centred coordinates add up to nothing
+                    for c in range(q.shape[1]):
+                        out[:, c] += np.bincount(indices, seen[row, c] * values, len(q))
+            yield pd.DataFrame({"g": [out.ravel()]})
+
+        parts = data.mapInPandas(part, "g array<double>").select(array_to_vector("g").alias("g"), F.pmod(F.spark_partition_id(), F.lit(32)).alias("stage"))
+        staged = parts.groupBy("stage").agg(Summarizer.sum(F.col("g")).alias("g"))
+        found = staged.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"].toArray()
+        shipped.destroy()
+        return found.reshape(q.shape[1], -1) if small else found.reshape(q.shape)
+
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(passed(q, small=False))[0]
+    shares, turns = np.linalg.eigh(passed(q, small=True))
+    loadings = q @ turns[:, ::-1][:, :k]
+    loadings *= np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)] >= 0, 1.0, -1.0)
     shift = mean @ loadings
-    placed = model.transform(rows).select(key, vector_to_array("_pc").alias("_pc"))
-    axes = [((F.col("_pc")[i] - float(shift[i])) * turn[i]).alias(n) for i, n in enumerate(["x", "y"][:k])]
-    if k == 1:
-        axes.append(F.lit(0.0).alias("y"))
-    return placed.select(key, *axes), [float(v) for v in model.explainedVariance]
+    table = settle(spark.createDataFrame(pd.DataFrame({"idx": np.arange(size), "w": list(loadings.tolist())}), "idx int, w array<double>"), "loadings")
+    flat = data.select(key, F.inline(F.arrays_zip("indices", "values"))).withColumnsRenamed({"indices": "idx"})
+    table = F.broadcast(table) if size <= MAX_BROADCAST_TERMS else table
+    placed = flat.join(table, "idx").groupBy(key).agg(*[F.sum(F.col("values") * F.col("w")[i]).alias(f"_p{i}") for i in range(k)])
+    axes = [(F.coalesce(f"_p{i}", F.lit(0.0)) - float(shift[i])).alias(c) for i, c in enumerate(["x", "y"][:k])]
+    axes += [F.lit(0.0).alias("y")] * (2 - k)
+    points = data.select(key).join(placed, key, "left").select(key, *axes)
+    return points, [float(v) / total if total > 0 else 0.0 for v in shares[::-1][:k]]
 
 
 def project_texts(df: DataFrame, key: str, text: str, max_features: int = 512) -> tuple[DataFrame, list[float]]:
@@ -44,8 +90,7 @@ def project_texts(df: DataFrame, key: str, text: str, max_features: int = 512) -
     terms = settle(word_terms(df, key, text), "terms")
     vocab = settle(with_idf(vocabulary(terms, key, max_features), df), "vocabulary")
     rows = sparse_rows(tfidf(terms, vocab, key, max_features, sublinear=False), df, key)
-    stored = settle(vectors(rows, max(1, vocab.count()), key), "vectors")
-    points, shares = project(stored, key)
+    points, shares = project(rows, key, max(1, vocab.count()))
     kept = label_columns(df)
     return points.join(df.select(key, *kept).fillna("", subset=kept), key), shares
 

@@ -6,14 +6,18 @@ vocabulary, whose size the caller caps, is the only table that is broadcast.
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from surveyloom.functions.ngrams import blank_separated, padded, padded_char_ngrams, word_ngrams, word_tokens
 from surveyloom.operators.common import with_scalars
+from surveyloom.session import scratch_path, settle
 
 MAX_BROADCAST_TERMS = 200_000
+#: Rows of one term from which it is spread over several tasks.
+HEAVY_TERM = 200_000
 
 
 def word_terms(df: DataFrame, key: str, text: str, low: int = 1, high: int = 2) -> DataFrame:
@@ -38,11 +42,45 @@ TERM_FAMILIES = {"tfidf": word_terms, "char_ngram": char_terms}
 def vocabulary(terms: DataFrame, key: str, max_features: int) -> DataFrame:
     """The most frequent terms of the corpus (ties by term), numbered, with their document counts."""
     counts = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    kept = counts.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    kept = most_frequent(counts, max_features)
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("total"), F.asc("term"))
     return kept.withColumn("idx", F.row_number().over(order) - 1)
 
 
+def most_frequent(counts: DataFrame, k: int) -> DataFrame:
+    """The k terms with the largest totals, ties by term.
+
+    The total at which k terms are reached comes from the number of terms per total, a far smaller table; only terms with that very total are sorted.
+    """
+    counts = settle(counts, "term-counts")
+    per_total = counts.groupBy("total").agg(F.count(F.lit(1)).alias("_terms"))
+    largest = per_total.orderBy(F.desc("total")).limit(k)
+    reached = F.sum("_terms").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("total")))
+    edge = largest.withColumn("_reached", reached).where(F.col("_reached") - F.col("_terms") < k).agg(F.min("total"), F.max(F.col("_reached") - F.col("_terms"))).first()
+    if edge[0] is None:
+        return counts
+    ties = counts.where(F.col("total") == edge[0]).orderBy("term").limit(k - edge[1])
+    return counts.where(F.col("total") > edge[0]).unionByName(ties)
+
+
+def join_terms(terms: DataFrame, table: DataFrame, rows: int | None = None) -> DataFrame:
+    """Terms with their row of a term table: by broadcast while the table is small, else by a join whose frequent terms are spread.
+
+    Terms in more than ``HEAVY_TERM`` rows are dealt by a salt, and only their rows of the table are repeated.
+    """
+    rows = table.count() if rows is None else rows
+    if rows <= MAX_BROADCAST_TERMS:
+        return terms.join(F.broadcast(table), "term")
+    heavy = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HEAVY_TERM)
+    heavy = settle(heavy.select("term", F.ceil(F.col("_n") / HEAVY_TERM).cast("int").alias("_parts")), "heavy-terms")
+    # at most one term in HEAVY_TERM rows is heavy; beyond a million of them the join is left to adaptive execution
+    marked = F.broadcast(heavy) if heavy.count() <= 1_000_000 else heavy
+    others = [c for c in terms.columns if c != "term"]
+    salted = terms.join(marked, "term", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_parts")), F.lit(0)).cast("int"))
+    spread_table = table.join(marked, "term", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return salted.drop("_parts").join(spread_table.drop("_parts"), ["term", "_salt"]).drop("_salt")
+
+
 def with_idf(vocab: DataFrame, documents: DataFrame) -> DataFrame:
     """Add idf = ln((1 + n) / (1 + df)) + 1 for the n documents the counts come from."""
     n = documents.agg(F.count(F.lit(1)).alias("_docs"))
@@ -56,9 +94,7 @@ def tfidf(terms: DataFrame, vocab: DataFrame, key: str, max_features: int, subli
     The length of a document is a sum over its own rows, at most one per vocabulary term.
     """
     tf = F.log(F.col("tf")) + 1.0 if sublinear else F.col("tf").cast("double")
-    small = vocab.select("term", "idx", "idf")
-    small = F.broadcast(small) if max_features <= MAX_BROADCAST_TERMS else small
-    raw = terms.join(small, "term").withColumn("_raw", tf * F.col("idf"))
+    raw = join_terms(terms, vocab.select("term", "idx", "idf"), max_features).withColumn("_raw", tf * F.col("idf"))
     if not normalize:
         return raw.select(key, "term", "idx", "tf", F.col("_raw").alias("weight"))
     length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
@@ -77,10 +113,11 @@ def sparse_rows(weights: DataFrame, documents: DataFrame, key: str) -> DataFrame
 
 
 def vectors(rows: DataFrame, size: int, *keep) -> DataFrame:
-    """(keep, features) for pyspark.ml, in one small call per document."""
-
-    def pack(indices: list[int], values: list[float]) -> SparseVector:
-        return Vectors.sparse(size, indices, values)
-
-    packed_row = F.udf(pack, VectorUDT())
-    return rows.select(*keep, packed_row("indices", "values").alias("features"))
+    """(keep, features) for pyspark.ml. A sparse vector is stored as the struct of its parts and read back as a vector, all inside the engine."""
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("indices").cast("array<int>").alias("indices"), F.col("values").cast("array<double>").alias("values")
+    )
+    stored = rows.select(*keep, parts.alias("features"))
+    path = scratch_path(rows.sparkSession, "vectors")
+    stored.write.parquet(path)
+    return rows.sparkSession.read.schema(StructType([*stored.schema.fields[:-1], StructField("features", VectorUDT())])).parquet(path)

@@ -155,12 +155,6 @@ def preset_counts(df: DataFrame, presets: Mapping[str, list[Mapping[str, Any]]])
     return counts.select(F.inline(pairs))
 
 
-def normalize_rules(rules: list[Mapping[str, Any]]) -> list[dict[str, str]]:
-    """Trim column names, make values text, drop rules without a column."""
-    tidy = [{"col": str(r.get("col") or "").strip(), "op": r.get("op"), "val": str(r.get("val") or "")} for r in rules]
-    return [r for r in tidy if r["col"]]
-
-
 def find_cells(df: DataFrame, needle: str, row_idx: str = "row_idx", column: str | None = None) -> DataFrame:
     """(row_idx, col) of every cell whose text contains the needle."""
     names = [c for c in df.columns if c != row_idx and (column is None or c == column)]

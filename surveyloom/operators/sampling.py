@@ -92,6 +92,10 @@ def check_no_overlap(df: DataFrame, key: str = "survey_id", split: str = "split"
         raise ValueError("splits share ids: " + ", ".join(f"{r['left']}/{r['right']}={r['n_shared']}" for r in found))
 
 
+#: Draws of one row that may meet in one task.
+DRAWS_PER_ROW = 100_000
+
+
 def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Repeat random rows of the smaller classes, with replacement, until all classes are as large as the largest.
 
@@ -104,21 +108,28 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     extra = {c: most - n for c, n in sorted(sizes.items(), key=lambda kv: str(kv[0])) if n < most}
     original = df.withColumn("draw", F.lit(0).cast("bigint"))
     if extra:
-        upper, start, chosen = 0, F.lit(0), F.lit(None)
+        upper, chosen = 0, F.lit(None)
+        salts = {c: -(-n // (sizes[c] * DRAWS_PER_ROW)) for c, n in extra.items()}
+        salt, wide = F.lit(1), F.lit(1)
         size, first = F.lit(1), F.lit(0)
         for c, n in extra.items():
             inside = (F.col("id") >= upper) & (F.col("id") < upper + n)
             chosen = F.when(inside, F.lit(c)).otherwise(chosen)
             size = F.when(inside, F.lit(sizes[c])).otherwise(size)
             first = F.when(inside, F.lit(upper)).otherwise(first)
+            salt = F.when(inside, F.lit(salts[c])).otherwise(salt)
+            wide = F.when(F.col(label) == F.lit(c), F.lit(salts[c])).otherwise(wide)
             upper += n
         draws = spark.range(upper).select(
             chosen.alias(label),
             (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), size) + 1).alias("_rank"),
             (F.col("id") - first + 1).alias("draw"),
+            F.pmod(F.xxhash64("id"), salt).cast("int").alias("_salt"),
         )
         ranked = digest_rank(df.where(F.col(label).isin(list(extra))), [label], key, seed, "_rank")
-        original = original.unionByName(ranked.join(draws, [label, "_rank"]).drop("_rank"))
+        # a row that very many draws name is repeated, and each copy serves a share of them
+        ranked = ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0), (wide - 1).cast("int"))))
+        original = original.unionByName(ranked.join(draws, [label, "_rank", "_salt"]).drop("_rank", "_salt"))
     return original.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.col(key), F.col("draw")))
 
 

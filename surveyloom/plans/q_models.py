@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -131,9 +129,10 @@ def _k7(spark, sf):
 @query("k8_warm_start")
 def _k8(spark, sf):
     train, val, test = _parts(spark, sf)
-    base = classify.train_classifier(train, "language", "language", "tfidf", max_features=20_000)
-    warm = classify.warm_start(base, val.unionByName(test), "language")
-    return classify.model_metrics(warm, test, "language")
+    base = classify.train_classifier(train, "language", "language", "tfidf")
+    warm = classify.warm_start(base, val, "language")
+    sides = [classify.model_metrics(m, test, "language").select(F.lit(n).alias("model"), "*") for n, m in (("base", base), ("warm", warm))]
+    return union(sides)
 
 
 @query("k9_model_comparison")
@@ -250,20 +249,21 @@ def _k16(spark, sf):
 
 _LANGS = ["de", "en", "es", "fr"]
 SQL_LANGUAGE = f"""{SQL_CHAR_TERMS.format(k="survey_id", x="text_feedback", t="survey", lo=3, hi=3)},
-  tc AS (SELECT term, sum(tf) AS total, {", ".join(f"coalesce(sum(tf) FILTER (WHERE language = '{l}'), 0) AS c_{l}" for l in _LANGS)} FROM terms JOIN survey ON survey_id = k GROUP BY term ORDER BY total DESC, term LIMIT 20000),
+  tc AS (SELECT term, sum(tf) AS total, {", ".join(f"coalesce(sum(tf) FILTER (WHERE language = '{l}'), 0) AS c_{l}" for l in _LANGS)} FROM terms JOIN survey ON survey_id = k WHERE survey_id % 5 <> 0 GROUP BY term),
   tt AS (SELECT count(*) AS v, {", ".join(f"sum(c_{l}) AS t_{l}" for l in _LANGS)} FROM tc),
   lp AS (SELECT term, {", ".join(f"ln((c_{l} + 1.0) / (t_{l} + v)) AS p_{l}" for l in _LANGS)} FROM tc, tt),
   ls AS (SELECT k, {", ".join(f"{r(f'sum(tf * p_{l})', 6)} AS s_{l}" for l in _LANGS)} FROM terms JOIN lp USING (term) GROUP BY k),
   lpred AS (SELECT survey_id, language, CASE WHEN s_de IS NULL THEN 'mixed' WHEN s_de = greatest(s_de, s_en, s_es, s_fr) THEN 'de' WHEN s_en = greatest(s_de, s_en, s_es, s_fr) THEN 'en' WHEN s_es = greatest(s_de, s_en, s_es, s_fr) THEN 'es' ELSE 'fr' END AS y_pred
-    FROM survey LEFT JOIN ls ON k = survey_id)"""
+    FROM survey LEFT JOIN ls ON k = survey_id WHERE survey_id % 5 = 0)"""
 
 
 @query("k17_language_baseline", f"WITH {SQL_LANGUAGE}, {sql_classification('lpred', 'language', 'y_pred')} SELECT * FROM cls")
 def _k17(spark, sf):
     docs = settle(survey(spark, sf).select("survey_id", "text_feedback", "language"), "docs")
-    profiles, languages = classify.language_profiles(spread(docs), "language", "survey_id", "text_feedback")
-    found = classify.detect_language(spread(docs), settle(profiles, "profiles"), languages, "survey_id", "text_feedback")
-    return evaluate.classification_metrics(docs.join(found, "survey_id"), "language", "pred")
+    known, asked = docs.where("survey_id % 5 <> 0"), docs.where("survey_id % 5 = 0")
+    profiles, languages = classify.language_profiles(spread(known), "language", "survey_id", "text_feedback")
+    found = classify.detect_language(spread(asked), settle(profiles, "profiles"), languages, "survey_id", "text_feedback")
+    return evaluate.classification_metrics(asked.join(found, "survey_id"), "language", "pred")
 
 
 # --- projection, clusters, outliers ---------------------------------------------------------------------------------------------
@@ -290,10 +290,10 @@ def _k18(spark, sf):
 
 @query("k18_vector_projection")
 def _k18b(spark, sf):
-    from pyspark.ml.functions import array_to_vector
-
-    rows = table(spark, sf, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return embedding.project(rows, "vec_id")[0]
+    v = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64)
+    rows = rows.select("vec_id", F.sequence(F.lit(0), F.lit(63)).alias("indices"), v.alias("values"))
+    return embedding.project(rows, "vec_id", 64)[0]
 
 
 @query("k19_kmeans")
@@ -337,20 +337,26 @@ def _k23(spark, sf):
     return embedding.flag_top_share(settle(scored, "scores"))
 
 
-def _stub_encoder():
-    """A deterministic stand-in for an encoder: three logits from the digest of each text."""
-
-    def encode(texts: list[str]) -> np.ndarray:
-        return np.array([[b / 32.0 for b in hashlib.sha256(t.encode()).digest()[:3]] for t in texts])
-
-    return encode
+@query(
+    "k24_external_encoder",
+    f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+    c AS (SELECT label, i, avg(v) AS m FROM e GROUP BY ALL), s AS (SELECT vec_id, c.label, sum(v * m) AS s FROM e JOIN c USING (i) GROUP BY ALL),
+    p AS (SELECT vec_id, label, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id) AS p FROM s)
+    SELECT vec_id, CAST(arg_max(label, p) AS VARCHAR) AS pred, {r("max(p)")} AS conf FROM p GROUP BY vec_id""",
+)
+def _k24(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    cells = rows.select("label", F.posexplode("embedding").alias("i", "v"))
+    means = cells.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    means = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
+    centres = sorted((c["label"], c["m"]) for c in means.collect())  # a vector per class
+    weights = np.array([m for _, m in centres]).T
 
+    def linear():
+        return lambda vectors: np.array(vectors, float) @ weights
 
-@query("k24_external_encoder")
-def _k24(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    scored = classify.external_scores(docs, "doc_id", "text", _stub_encoder, ["negative", "neutral", "positive"])
-    return scored.select("doc_id", "pred", "conf")
+    scored = classify.external_scores(rows, "vec_id", "embedding", linear, [str(label) for label, _ in centres])
+    return scored.select("vec_id", "pred", rounded(F.col("conf")).alias("conf"))
 
 
 # --- versioned tables -----------------------------------------------------------------------------------------------------------------
@@ -376,7 +382,8 @@ def _o1(spark, sf):
 
 @query(
     "o2_read_as_of",
-    "SELECT 1 AS version, count(*) AS n FROM survey UNION ALL SELECT 2, count(*) FROM survey WHERE language <> 'en' UNION ALL SELECT 3, count(*) FROM survey WHERE language = 'fr'",
+    """SELECT 1 AS version, count(*) AS n FROM survey UNION ALL SELECT 2, count(*) FROM survey WHERE language <> 'en' UNION ALL SELECT 3, count(*) FROM survey WHERE language = 'fr'
+    UNION ALL SELECT 4, count(*) FROM survey""",
 )
 def _o2(spark, sf):
     root = scratch_path(spark, "store")
@@ -389,6 +396,8 @@ def _o2(spark, sf):
         versions.read_version(spark, root, "feedback", branch="main"),
         versions.read_version(spark, root, "feedback"),
     ]
+    versions.move_head(spark, root, "feedback", 1)
+    reads.append(versions.read_version(spark, root, "feedback", branch="main"))
     return union([f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i + 1).alias("version"), "n") for i, f in enumerate(reads)])
 
 
@@ -413,45 +422,6 @@ def _o3(spark, sf):
     return versions.read_version(spark, root, "feedback")
 
 
-def _version_events(spark, sf):
-    """A log of commits, forks, copies, restores, moves and deletes per user, from the event stream."""
-    rows = table(spark, sf, "events")
-    k = F.col("event_id") % 4
-    target = F.col("event_id") - (F.col("event_id") % 700) - 1
-    kind = (
-        F.when(F.col("event_type").isin("signup", "purchase"), "commit")
-        .when(F.col("event_type") == "view", F.when(k == 0, "fork").when(k == 1, "copy").otherwise("restore"))
-        .when(F.col("event_type") == "click", "move")
-        .otherwise("delete")
-    )
-    numbered = rows.select((F.col("user_id") % 50).alias("dataset"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).alias("b"), target.alias("t"))
-    # Moves, deletes and copies refer to the dataset's latest earlier commit before the target number.
-    from pyspark.sql import Window
-
-    commits = F.last(F.when(F.col("kind") == "commit", F.col("seq")), ignorenulls=True)
-    earlier = Window.partitionBy("dataset").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    known = numbered.withColumn("ref", commits.over(earlier)).where((F.col("kind") == "commit") | F.col("ref").isNotNull())
-    is_new = F.col("kind").isin(versions.ADDS)
-    branch = F.concat(F.lit("b"), F.col("b"))
-    return known.select(
-        "dataset",
-        "seq",
-        "kind",
-        F.when(is_new, F.col("seq")).otherwise(F.col("ref")).alias("version"),
-        F.when(is_new, branch).alias("branch"),
-        F.when(F.col("kind").isin(versions.ADDS[1:]), F.col("ref")).alias("source"),
-        F.when(F.col("kind") == "move", branch).alias("target"),
-    )
-
-
-@query("o4_version_replay")
-def _o4(spark, sf):
-    state, refused = versions.replay(_version_events(spark, sf))
-    stored = settle(state, "state")
-    roots = versions.data_roots(stored)
-    return stored.join(roots, ["dataset", "version"]).select("dataset", "version", "branch", "is_live", "is_head", "data")
-
-
 @query(
     "o7_parent_chains",
     """WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations),

@@ -317,18 +317,20 @@ def _f6(spark, sf):
     return profile.mean_interval(table(spark, sf, "lineitem"), LINE)
 
 
-@query("f7_bootstrap_interval")
+def _bracketed(found, digits=4):
+    """What the data determine of a bootstrap: the estimate, and that it lies within the interval."""
+    inside = (F.col("low") < F.col("estimate")) & (F.col("estimate") < F.col("high"))
+    return found.select("n", rounded(F.col("estimate"), digits).alias("estimate"), inside.alias("inside"), "n_resamples")
+
+
+@query("f7_bootstrap_interval", f"SELECT count(l_quantity) AS n, {r('avg(l_quantity)')} AS estimate, true AS inside, 500 AS n_resamples FROM lineitem")
 def _f7(spark, sf):
-    mean = profile.bootstrap_interval(table(spark, sf, "lineitem"), F.col("l_quantity"), n_resamples=500)
-    return mean.withColumn("metric", F.lit("mean"))
+    return _bracketed(profile.bootstrap_interval(table(spark, sf, "lineitem"), F.col("l_quantity"), n_resamples=500))
 
 
-@query("p2_bootstrap_custom_metric")
+@query("p2_bootstrap_custom_metric", f"SELECT count(value) AS n, {r('quantile_cont(value, 0.5)')} AS estimate, true AS inside, 200 AS n_resamples FROM events")
 def _p2(spark, sf):
-    def median(values, weights):
-        return float(values[np.searchsorted(np.cumsum(weights), weights.sum() / 2.0)])
-
-    return profile.bootstrap_interval(table(spark, sf, "events"), F.col("value"), median, n_resamples=200)
+    return _bracketed(profile.bootstrap_interval(table(spark, sf, "events"), F.col("value"), 0.5, n_resamples=200))
 
 
 @query(
@@ -969,10 +971,9 @@ def _j3(spark, sf):
     return moved.select("survey_id", F.md5("text_feedback").alias("text_md5"))
 
 
-@query("j4_bootstrap_resampling")
+@query("j4_bootstrap_resampling", f"SELECT count(o_totalprice) AS n, {r('sum(o_totalprice)', 2)} AS estimate, true AS inside, 200 AS n_resamples FROM orders")
 def _j4(spark, sf):
-    frame = table(spark, sf, "orders")
-    return profile.bootstrap_interval(frame, F.round("o_totalprice", -2), "sum", n_resamples=200)
+    return _bracketed(profile.bootstrap_interval(table(spark, sf, "orders"), F.col("o_totalprice"), "sum", n_resamples=200), 2)
 
 
 @query(

@@ -117,44 +117,6 @@ def test_isolation_forest_finds_the_far_point(spark):
     assert abs(scored.where("is_outlier").count() - 20) <= 2
 
 
-def _brute_replay(events):
-    place, live, source, refused = {}, {}, {}, set()
-    for e in sorted(events, key=lambda e: (e["dataset"], e["seq"])):
-        v = (e["dataset"], e["version"])
-        if e["kind"] in versions.ADDS:
-            if v not in place:
-                place[v], live[v], source[v] = e["branch"], True, e["source"]
-            continue
-        if not live.get(v) or (e["kind"] == "move" and place[v] == e["target"]):
-            continue
-        mates = sum(live[w] and place[w] == place[v] for w in place if w[0] == v[0])
-        if mates <= 1:
-            refused.add((e["dataset"], e["seq"]))
-        elif e["kind"] == "delete":
-            live[v] = False
-        else:
-            place[v] = e["target"]
-    return place, live, refused
-
-
-def test_replay_matches_a_sequential_reading(spark):
-    rng = np.random.default_rng(9)
-    rows = []
-    for dataset in range(4):
-        for seq in range(60):
-            kind = str(rng.choice(["commit", "commit", "fork", "move", "delete", "delete"]))
-            ref = int(rng.integers(0, max(1, seq)))
-            new = kind in versions.ADDS
-            rows.append((dataset, seq, kind, seq if new else ref, f"b{rng.integers(3)}" if new else None, ref if kind == "fork" else None, f"b{rng.integers(3)}" if kind == "move" else None))
-    schema = "dataset bigint, seq bigint, kind string, version bigint, branch string, source bigint, target string"
-    frame = spark.createDataFrame(rows, schema)
-    state, refused = versions.replay(frame, bucket_events=7)
-    place, live, want = _brute_replay([dict(zip(["dataset", "seq", "kind", "version", "branch", "source", "target"], r, strict=True)) for r in rows])
-    assert {(r["dataset"], r["seq"]) for r in refused.collect()} == want
-    got = {(r["dataset"], r["version"]): (r["branch"], r["is_live"]) for r in state.collect()}
-    assert got == {v: (place[v], live[v]) for v in place}
-
-
 def test_lineage_is_cycle_safe(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")
     got = {(r["node"], r["ancestor"], r["depth"]) for r in versions.lineage(nodes, "id", "parent").collect()}

@@ -44,7 +44,7 @@ def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """One row per page: payload, its size and digest, whether it is a response or a revisit, and the page a revisit refers to."""
     own = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", sha1_base32(F.col("html").cast("binary")))
-    # the first of a digest is found from keys alone; payloads are never shuffled by digest
+    # the first of a digest is found from keys alone; the join with it shuffles payloads once
     seen = own.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest")
     firsts = seen.agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     joined = own.join(firsts, "payload_digest", "left")

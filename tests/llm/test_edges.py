@@ -252,7 +252,7 @@ def test_recall_near_the_threshold():
     b = 0.951 * a + np.sqrt(1 - 0.951**2) * other
     (own_a, near_a), (own_b, near_b) = lattice.cells(a), lattice.cells(b)
     met = (own_a == own_b) | (near_a == own_b[:, :, None]).any(axis=2) | (near_b == own_a[:, :, None]).any(axis=2)
-    assert met.any(axis=1).mean() > 0.95
+    assert met.any(axis=1).mean() > 0.99
 
 
 def test_transcripts(spark):

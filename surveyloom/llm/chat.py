@@ -8,7 +8,7 @@ A conversation is cut into pieces of a bounded number of turns or lines. A piece
 the state after it; such matrices are reduced again, so a conversation that holds a third of all lines is a tree of small tasks. Boundary states are
 then chosen from the top down, and each piece is decoded between its two. The result is that of one pass over the whole conversation.
 
-Defined results: rows without a conversation id are one conversation; a null turn comes first; rows of one turn follow in the order of their
+Defined results: rows without a conversation id are one conversation; a null turn comes first; negative turns are one piece with the first ones; rows of one turn follow in the order of their
 text; a null or empty text is a turn of one blank line, which is rendered empty where the model finds a turn there; ties go to the state listed first; an empty table
 gives no turns; without any labelled row all turns are equally likely; other columns are not read.
 """
@@ -73,7 +73,7 @@ def conversation_lines(conversations: DataFrame, style: Column | None = None) ->
         skipped = (F.pmod(F.xxhash64("conv_id", "t"), F.lit(4)) == 0) if k == 3 else F.lit(False)
         marker = F.when((style == k) & ~skipped, named).otherwise(marker)
     written = F.concat(marker, F.col("text"), F.when(style == 4, "\n").otherwise(""))
-    return c.select("conv_id", "t", "role", F.floor(F.col("t") / PIECE_TURNS).cast("long").alias("piece"), F.split(written, "\n").alias("lines"))
+    return c.select("conv_id", "t", "role", F.floor(F.greatest("t", F.lit(0)) / PIECE_TURNS).cast("long").alias("piece"), F.split(written, "\n").alias("lines"))
 
 
 def transcript_lines(transcripts: DataFrame) -> DataFrame:

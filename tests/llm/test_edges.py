@@ -180,7 +180,7 @@ def test_patterns(text):
 def test_terms_that_disclose(spark):
     rows = [(i, f"{'abcdefghij'[i % 10]} colour number today zanzibar wrote x{i} from jo@site.org about thing{'abcdefghij'[i % 10]}") for i in range(6)]
     rows += [(100 + i, "today a thing was wrote about a colour from a number of people " + str(i)) for i in range(200)]
-    rows += [(400 + i, f"contact p{i}@else.org today") for i in range(200)]
+    rows += [(400 + i, f"contact p{i}@else.org today") for i in range(800)]
     got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
     for i in range(6):
         terms = [s for s in got[i][0].spans.split(",") if s.startswith("term:")]

@@ -97,5 +97,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents that are not contaminated."""
-    return contamination(docs, benchmark, columns).where("not contaminated").select(*columns)
+    """The documents that are not contaminated.
+
+    The verdicts are written before they are filtered: the optimiser would move the filter below the words' array and split the text again for each comparison.
+    """
+    judged = settle(contamination(docs, benchmark, columns).select(*columns, "contaminated"), "judged")
+    return judged.where("not contaminated").select(*columns)

@@ -210,7 +210,7 @@ def _k12(spark, sf):
     from pyspark.ml.feature import VectorAssembler
 
     train, test = _fusion_parts(spark, sf)
-    assemble = VectorAssembler(inputCols=ITEMS[:3], outputCol="features")
+    assemble = VectorAssembler(inputCols=ITEMS, outputCol="features")
     hat = fusion.huber_predictions(assemble.transform(train), assemble.transform(test), "survey_id", "features", list(FACTORS))
     return evaluate.regression_metrics(hat, {t: (t, f"{t}_hat") for t in FACTORS})
 

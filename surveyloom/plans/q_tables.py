@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from surveyloom.functions import text as T
-from surveyloom.functions.intervals import t_critical
+from surveyloom.functions.intervals import T_95, t_critical
 from surveyloom.functions.numbers import blank_to_empty, clip, rounded, softmax, to_number
 from surveyloom.operators import predicates as P
 from surveyloom.operators import schema as S
@@ -588,13 +588,11 @@ def _d17(spark, sf):
 
 @query(
     "d18_critical_values",
-    """SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) - 1 BETWEEN 1 AND 30 THEN [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228,
-    2.201, 2.179, 2.16, 2.145, 2.131, 2.12, 2.11, 2.101, 2.093, 2.086, 2.08, 2.074, 2.069, 2.064, 2.06, 2.056, 2.052, 2.048, 2.045, 2.042][CAST(count(*) - 1 AS INT)]::DOUBLE
-    ELSE 1.959963984540054::DOUBLE END AS t FROM lineitem WHERE l_discount = 0.07 AND l_tax = 0.02 GROUP BY l_suppkey""",
+    f"""SELECT l_suppkey, l_discount, count(*) AS n, CASE WHEN count(*) - 1 BETWEEN 1 AND 30 THEN {T_95}[CAST(count(*) - 1 AS INT)]::DOUBLE
+    ELSE 1.959963984540054::DOUBLE END AS t FROM lineitem GROUP BY l_suppkey, l_discount""",
 )
 def _d18(spark, sf):
-    rows = table(spark, sf, "lineitem").where((F.col("l_discount") == 0.07) & (F.col("l_tax") == 0.02))
-    counts = rows.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_discount").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("t", t_critical(F.col("n") - 1))
 
 

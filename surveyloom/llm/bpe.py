@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from surveyloom.llm.common import chunks, id_and_text
 
 #: Distinct words after which a task starts a new word index, so that its memory stays bounded.
-WORDS_HELD = 400_000
+WORDS_HELD = 200_000
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -195,7 +195,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         columns = ["text", *carried]
-        for text, *rest in chunks(batches, columns, limit=24 << 20):
+        for text, *rest in chunks(batches, columns, limit=6 << 20):
             found = encoder.encode(text)
             out: dict[str, list] = dict(zip(carried, rest, strict=True))
             out["n_tokens"] = [len(ids) for ids in found]

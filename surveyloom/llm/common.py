@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from surveyloom.session import settle
 
+#: Rows of a batch that are Python objects at a time.
+ROWS_UNPACKED = 256
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -25,17 +28,19 @@ def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str = "text", limit: int = 4 << 20) -> Iterator[list[list]]:
     """Column lists of consecutive rows holding about ``limit`` characters of text each; one row may exceed it alone."""
+    at = columns.index(text)
     for batch in batches:
         held: list[list] = [[] for _ in columns]
         size = 0
-        at = columns.index(text)
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            for out, value in zip(held, row, strict=True):
-                out.append(value)
-            size += len(row[at] or "")
-            if size >= limit:
-                yield held
-                held, size = [[] for _ in columns], 0
+        for begin in range(0, batch.num_rows, ROWS_UNPACKED):  # Python objects of a whole batch would be several times its size
+            part = batch.slice(begin, ROWS_UNPACKED)
+            for row in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                for out, value in zip(held, row, strict=True):
+                    out.append(value)
+                size += len(row[at] or "")
+                if size >= limit:
+                    yield held
+                    held, size = [[] for _ in columns], 0
         if held[0]:
             yield held
 

@@ -45,6 +45,45 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str = "t
             yield held
 
 
+#: Slots of a filter: its size does not depend on how many values it holds; the fuller it is, the more it lets through.
+SLOTS = 1 << 24
+
+
+def slots_of(frame: DataFrame, value: str) -> np.ndarray:
+    """A filter of the 64-bit integers in a column, one bit per slot; as many numbers come to the driver as it has words, at most."""
+    at = frame.select(F.pmod(F.col(value), F.lit(SLOTS)).cast("long").alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 31))")).alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 32, np.uint32)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def in_slots(slots: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit integers may be in the filter; never False for one that is."""
+    at = values.astype(np.int64) & (SLOTS - 1)
+    return (slots[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Each text of ``docs`` that is not null once, as a table of ``text``.
+
+    A filter of the digests of repeated texts tells which rows may have a copy. Only those are shuffled; each task merges its copies before.
+    """
+    keyed = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    keyed = keyed.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit("other"), "text")})
+    repeated = keyed.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slots = docs.sparkSession.sparkContext.broadcast(slots_of(repeated, "d1"))  # SLOTS bits
+
+    def part(copied: bool) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_slots(slots.value, batch.column("d1").to_numpy(zero_copy_only=False)) == copied))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    return part(False).select("text").unionByName(part(True).dropDuplicates(["d1", "d2"]).select("text"))
+
+
 def crc_bucket(id_column: Column, n: int) -> Column:
     """crc32 of the id's text, modulo ``n``; null for a null id."""
     return F.crc32(id_column.cast("string")) % F.lit(n)

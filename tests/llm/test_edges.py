@@ -215,6 +215,43 @@ def test_a_large_group_is_one_class(spark):
         assert all(got[1000 + i] == 1000 + i for i in range(40))
 
 
+def _template_rows():
+    """A template of 200 words that a third of the rows hold as it is, its near copies with two and three words changed, and other texts."""
+    import random
+
+    rng = random.Random(8)
+    draw = lambda n: [f"w{rng.randint(0, 4999)}" for _ in range(n)]
+    template = draw(200)
+    rows = [(i, " ".join(template)) for i in range(300)]
+    for i in range(300, 340):
+        own = list(template)
+        for k, place in enumerate((50, 100) if i % 2 else (40, 90, 150)):
+            own[place + rng.randint(0, 9)] = f"new{i}x{k}"
+        rows.append((i, " ".join(own)))
+    return rows + [(i, " ".join(draw(200))) for i in range(340, 900)]
+
+
+def test_near_copies_of_a_frequent_template(spark):
+    rows = _template_rows()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    got = {r.doc_id: r.class_id for r in weighted_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, own in sets.items():
+        similar = len(own & sets[0]) / len(own | sets[0])
+        assert similar > 0.85 or similar < 0.5
+        assert (got[i] == 0) == (similar > 0.85)
+
+
+def test_document_frequencies_count_a_text_once(spark):
+    import numpy as np
+
+    rows = _template_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    once = spark.createDataFrame([(0, t) for t in dict.fromkeys(t for _, t in rows)], "doc_id long, text string")
+    assert np.array_equal(weighted_minhash.rarity(frame), weighted_minhash.rarity(once))
+    weights = weighted_minhash.rarity(frame)
+    assert weights.max() <= weighted_minhash.RARE * (1 + 1e-6) and weights.min() >= 1
+
+
 def test_embeddings(spark):
     import numpy as np
 

@@ -1,9 +1,9 @@
 """Personal data: patterns, and terms whose co-occurrence with them gives protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers. The entities they name are protected. For the words around an
-entity the corpus tells how strongly they reveal it: with n(e, t) distinct contexts of entity e that hold term t, n(t) texts that hold t, and
+entity the corpus tells how strongly they reveal it: with n(e, t) texts that hold term t in a context of entity e, n(t) texts that hold t, and
 p(e) the share of e among all contexts, a term discloses e if p(e | t) = n(e, t) / n(t) and the information log2(p(e | t) / p(e)) reach their
-thresholds, in at least ``support`` contexts (copies of one context count once). Such a term is a span of its own near that entity:
+thresholds, in at least ``support`` contexts (equal texts and equal contexts count once). Such a term is a span of its own near that entity:
 generalised to its kind, or removed where it all but names the entity.
 
 Counts cover every text: words are merged per task, contexts and pairs are merged before they are shuffled, and an entity or a word that
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import chunks
+from surveyloom.llm.common import chunks, distinct_texts
 from surveyloom.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -143,24 +143,25 @@ def find_base(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, text, k1, k2 in chunks(batches, ["doc_id", "text", "k1", "k2"]):
-            out: dict[str, list] = {"doc_id": ids, "k1": k1, "k2": k2, **{f"n_{k}": [] for k in KINDS}, "base": [], "mentions": []}
+            out: dict[str, list] = {"doc_id": ids, "k1": k1, "k2": k2, **{f"n_{k}": [] for k in KINDS}, "d": [], "base": [], "mentions": []}
             for t in text:
                 spans = base_spans(t)
                 n = Counter(k for k, _, _ in spans)
                 for k in KINDS:
                     out[f"n_{k}"].append(n[k])
+                out["d"].append(_hash(t) if spans else None)
                 out["base"].append(_joined(spans))
                 out["mentions"].append(mentions(t, spans) if spans else [])
-            arrays = [pa.array(v, MENTIONS) if c == "mentions" else pa.array(v) for c, v in out.items()]
+            arrays = [pa.array(v, {"mentions": MENTIONS, "d": pa.int64()}.get(c)) for c, v in out.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=list(out))
 
     fields = f"doc_id {kind}, k1 long, k2 long, " + ", ".join(f"n_{k} long" for k in KINDS)
-    fields += ", base string, mentions array<struct<e:long,t:long,start:int,stop:int,c:long>>"
+    fields += ", d long, base string, mentions array<struct<e:long,t:long,start:int,stop:int,c:long>>"
     return _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(run, fields)
 
 
 def texts_with(docs: DataFrame) -> DataFrame:
-    """(t, n): the number of texts each term is in, over all texts."""
+    """(t, n): the number of distinct texts each term is in, over all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
@@ -182,17 +183,18 @@ def texts_with(docs: DataFrame) -> DataFrame:
         yield rows()
 
     # a text that holds a term in two spellings counts it twice: n(t) errs to the side of less disclosure
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return distinct_texts(docs).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def disclosing(base: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
     """(e, t, p): terms that disclose an entity, and p(e | t)."""
-    found = base.where(F.size("mentions") > 0).select(F.explode("mentions").alias("m"))
-    contexts = settle(found.select("m.e", "m.c", "m.t").distinct(), "contexts")
+    found = base.where(F.size("mentions") > 0).select("d", F.explode("mentions").alias("m"))
+    contexts = settle(found.select("m.e", "m.c", "m.t", "d").distinct(), "contexts")
     per_entity = contexts.select("e", "c").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
     total = contexts.select("e", "c").distinct().count()
-    pairs = contexts.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    pairs = settle(pairs, "pairs")
+    supported = contexts.select("e", "t", "c").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= support)
+    in_texts = contexts.select("e", "t", "d").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"))
+    pairs = settle(supported.join(in_texts, ["e", "t"]).select("e", "t", "n_et"), "pairs")
     if pairs.isEmpty():
         return pairs.select("e", "t", F.lit(1.0).alias("p"))
     scored = pairs.join(texts_with(docs), "t").join(per_entity, "e")
@@ -212,7 +214,7 @@ def find(docs: DataFrame) -> DataFrame:
     """One row per document: counts per base kind, ``base`` and ``spans`` as kind:start:end, and the number of disclosing terms."""
     base = settle(find_base(docs), "base-spans")
     terms = term_spans(base, disclosing(base, docs))
-    joined = base.drop("mentions").join(terms, ["k1", "k2"], "left")
+    joined = base.drop("mentions", "d").join(terms, ["k1", "k2"], "left")
     written = F.array_join(F.transform("terms", lambda s: F.concat_ws(":", F.lit(TERM), s["start"], s["stop"])), ",")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), written)
     return joined.select("doc_id", *[f"n_{k}" for k in KINDS], "base", spans.alias("spans"), F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term"))

@@ -188,6 +188,25 @@ def test_terms_that_disclose(spark):
     assert not any("term:" in r.spans for i, rs in got.items() if i >= 100 for r in rs)
 
 
+def _terms(spark, rows):
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    return {r.doc_id: [text[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"] for r in found}
+
+
+def _about_jo(number):
+    return [(i, f"{'abcdefghij'[i]} colour today zanzibar {number} wrote{i} from jo@site.org about thing{i}") for i in range(6)]
+
+
+def test_terms_of_copied_texts(spark):
+    others = [(400 + i, f"contact p{i}@else.org today") for i in range(800)]
+    others += [(2000 + i, f"today a colour about from {i} people") for i in range(200)]
+    rows = [(10 * c + i, t) for c in range(5) for i, t in _about_jo("then")] + others
+    got = _terms(spark, rows)
+    assert all(got[10 * c + i] == ["zanzibar", "then"] for c in range(5) for i in range(6))
+    assert not any(terms for i, terms in got.items() if i >= 400)
+
+
 def test_weighted_minhash(spark, docs, empty):
     got = by_id(weighted_minhash.classes(docs))
     assert {r.class_id for r in got[2]} == {1} and got[1][0].kept

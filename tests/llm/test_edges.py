@@ -207,6 +207,26 @@ def test_terms_of_copied_texts(spark):
     assert not any(terms for i, terms in got.items() if i >= 400)
 
 
+def test_terms_are_spans_in_every_text(spark):
+    rows = _about_jo("KD-48213") + [(400 + i, f"contact p{i}@else.org today") for i in range(800)]
+    rows += [(2000 + i, f"today a colour about from {i} people") for i in range(200)]
+    rows += [(3000, "No address here, but Zanzibar. " + "word " * 50 + "(kd-48213)"), (3001, "jo@site.org " + "filler " * 40 + "zanzibar")]
+    got = _terms(spark, rows)
+    assert all(got[i] == ["zanzibar", "KD-48213"] for i in range(6))
+    assert got[3000] == ["Zanzibar", "kd-48213"] and got[3001] == ["zanzibar"]
+    assert not any(terms for i, terms in got.items() if 400 <= i < 3000)
+    clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"]))
+    assert not any(w in r.text.lower() for rs in clean.values() for r in rs for w in ("zanzibar", "kd-48213"))
+
+
+def test_contexts_end_at_words():
+    long = "x" * 200
+    text = f"one two {long} three name<a.b@c.de> four, 1.2.3.4 five"
+    held = pii.mentions(text, pii.base_spans(text))
+    first = {m["t"] for m in held if m["e"] == held[0]["e"]}
+    assert first == {pii._hash(t) for t in ("one", "two", long, "three", "name", "four", "five")}
+
+
 def test_weighted_minhash(spark, docs, empty):
     got = by_id(weighted_minhash.classes(docs))
     assert {r.class_id for r in got[2]} == {1} and got[1][0].kept

@@ -3,14 +3,16 @@
 A text is a sequence of words, each the mark of a word's start and its characters, and an end. Every segmentation of a word into pieces of an
 existing vocabulary counts: the forward recursion sums their probabilities in log space, so a text's score is its marginal probability.
 Piece probabilities are relative frequencies in the training texts, as the vocabulary's own tokenizer cuts them; characters without a piece fall back
-to byte pieces.
+to byte pieces. Each word of the training texts is one more edge from its start to its end, with its relative frequency there, so what scoring
+knows grows with the corpus. The edge and the pieces share the probability: the pieces get the share of training tokens that occur once
+(Good and Turing's estimate of new words), and the forward sum stays that of one distribution.
 
 Spark counts words first: each task merges its words before the shuffle, so a frequent word is one row per task. Texts are dealt into blocks by a hash of their id; a block asks only
 for the counts of its distinct words, by 64-bit hashes, and runs the recursion once for each of them, so no (document, word) row is ever
 shuffled and no word table is broadcast.
 
 Defined results: a null or empty text is the end alone; repeated rows count as often as they occur; a null id is held out; with no training text
-every piece is equally likely and the base score is over an empty count table; a very long word is one row; other columns are not read.
+every piece is equally likely, there are no word edges, and the base score is over an empty count table; a very long word is one row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -161,6 +163,13 @@ def _bytes_of(chars: np.ndarray, rows: np.ndarray, alpha: np.ndarray, i: int, vo
     alpha[i + 1, rows] = np.logaddexp(alpha[i + 1, rows], alpha[i, rows] + p[back])
 
 
+def with_edges(pieces_log: np.ndarray, count: np.ndarray, n_train: int, escape: float) -> np.ndarray:
+    """Natural log of each word's probability: its own edge by its training count, and the sum over its segmentations."""
+    with np.errstate(divide="ignore"):
+        edge = np.log(count) + np.log1p(-escape) - np.log(max(n_train, 1))
+    return np.logaddexp(edge, pieces_log + np.log(escape))
+
+
 def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10), one row per document."""
     docs = id_and_text(docs).withColumn("held_out", held_out(F.col("doc_id")))
@@ -187,9 +196,10 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     words = docs.select("text", "held_out").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     words = settle(words, "words")
     size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count_if(~F.col("held_out")).alias("ends")).first()
-    known = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    known = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     ends = size["ends"]
     n_train, v_train = known[0] + ends, known[1] + (ends > 0)
+    escape = (known[2] + (ends == 1) + 1) / (n_train + 1)
 
     def count_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(vocabulary_path)
@@ -212,7 +222,7 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         c[row["piece"]] += row["n"]
     c[own.size] += ends
     log_p = np.log(c / c.sum())
-    log_end = float(log_p[own.size])
+    log_end = float(with_edges(log_p[own.size :], np.array([ends]), n_train, escape)[0])
     shipped = docs.sparkSession.sparkContext.broadcast(log_p)  # one number per piece
 
     blocks = max(1, math.ceil((size["chars"] or 0) / BLOCK_CHARS))
@@ -243,6 +253,7 @@ def score(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         own = list({w for ws in held for w in ws})
         c = np.array([count_of.get(name_of(w), 0) for w in own], np.int64)
         p = forward([START + w.decode("utf-8", "replace") for w in own], pieces(vocabulary_path), shipped.value)
+        p = with_edges(p, c, n_train, escape)
         base = np.log10((c + 1) / (n_train + v_train + 1))
         per_word = dict(zip(own, zip(base.tolist(), p.tolist(), (c > 0).tolist(), strict=True), strict=True))
         end = (math.log10((ends + 1) / (n_train + v_train + 1)), log_end, ends > 0)

@@ -133,6 +133,16 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(got, [np.log(total(w)) for w in words])
 
 
+def test_trained_words_are_edges(spark):
+    import numpy as np
+
+    found = lattice_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")).where("held_out").agg(F.sum("score")).first()
+    assert found[0] > -280_000  # -322,582 by pieces alone
+    count = np.array([5, 1, 1, 0])
+    p = np.exp(lattice_lm.with_edges(np.log(np.full(4, 0.25)), count, 7, 0.375))
+    assert p.sum() == pytest.approx(1) and p[0] == pytest.approx(0.625 * 5 / 7 + 0.375 / 4)
+
+
 def test_bpe(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = by_id(bpe.encode_decode(docs, path, public_tokenizers.PATTERN, ("ids", "decoded", "digests")))

@@ -176,3 +176,12 @@ def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label)
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyloom.llm import simhash
+    from surveyloom.session import settle
+
+    found = settle(simhash.beside_next(table(spark, sf_dir, "documents")), "simhash")
+    return found.join(simhash.classes(found.select("doc_id", "fingerprint")), "fingerprint").select(*found.columns, "n_links", "class_id")

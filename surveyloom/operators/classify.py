@@ -241,13 +241,18 @@ def explain_rows(model: TextModel, df: DataFrame, key: str = "survey_id", top_n:
     )
 
 
-def _descend(cost: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, max_iter: int, tol: float, memory: int = 8) -> tuple[np.ndarray, bool, int]:
-    """Limited-memory quasi-Newton steps until the gradient is ``tol`` of the first one; each step costs one pass, or a few where it must be shortened."""
+def _descend(
+    cost: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, max_iter: int, tol: float, memory: int = 8, flat: float = 1e-4
+) -> tuple[np.ndarray, bool, int]:
+    """Limited-memory quasi-Newton steps until the gradient is ``tol`` of the first one, or ``flat`` as it stands: a start may be the optimum.
+
+    Each step costs one pass, or a few where it must be shortened.
+    """
     value, gradient = cost(theta)
     first = np.sqrt((gradient**2).sum())
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for step in range(max_iter):
-        if np.sqrt((gradient**2).sum()) <= tol * first:
+        if np.sqrt((gradient**2).sum()) <= max(tol * first, min(tol, flat)):
             return theta, True, step
         direction, kept = gradient.copy(), []
         for moved, change, inverse in reversed(pairs):
@@ -291,7 +296,7 @@ def warm_start(
 
     Weights carry over by term. Each step is one pass over the rows: a task adds up its part of loss and
     gradient, and the parts, each classes x capped vocabulary, are summed in two stages. Steps end when the gradient has shrunk to ``tol`` of the
-    first one; ``metrics`` says whether that was reached within ``max_iter``.
+    first one, or is flat; ``metrics`` says whether that was reached within ``max_iter``.
     """
     vocab, rows = _training_frame(df, key, base.text_column, label, base.family, base.max_features)
     classes, weights, n = _class_weights(rows, balanced)

@@ -26,8 +26,10 @@ def test_classifier_learns_saves_and_explains(spark, feedback, tmp_path):
     assert {"awful", "terrible"} & {r["feature"] for r in top}
     why = classify.explain_rows(model, feedback.where("survey_id = 2"), top_n=2).collect()
     assert any("awful" in r["feature"] or "terrible" in r["feature"] for r in why)
-    warm = classify.warm_start(model, feedback, "sentiment_class", iterations=5)
-    assert warm is not None and classify.scored_rows(warm, feedback, "sentiment_class").where("pred = y_true").count() == 45
+    short = classify.warm_start(model, feedback, "sentiment_class", C=9.0, max_iter=1, tol=1e-12)
+    assert short.metrics == {"converged": False, "steps": 1}
+    warm = classify.warm_start(model, feedback, "sentiment_class")
+    assert warm.metrics["converged"] and classify.scored_rows(warm, feedback, "sentiment_class").where("pred = y_true").count() == 45
     assert classify.warm_start(model, feedback.where("sentiment_class <> 'neutral'"), "sentiment_class") is None
     odd = classify.TextModel(**{**model.__dict__, "name": "odd", "preprocess_spec": "v9"})
     raw = feedback.select(F.col("survey_id").alias("row_idx"), "text_feedback")

@@ -185,3 +185,34 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = settle(simhash.beside_next(table(spark, sf_dir, "documents")), "simhash")
     return found.join(simhash.classes(found.select("doc_id", "fingerprint")), "fingerprint").select(*found.columns, "n_links", "class_id")
+
+
+_BYTE = "CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(s, CAST(i // 8 + 1 AS INT), 1))) ELSE v END"
+#: crc32 of the ASCII text ``s``, bit by bit.
+_CRC32 = f"""xor(list_reduce(list_concat([4294967295], range(0, 8 * len(s))),
+    lambda v, i: xor(({_BYTE}) >> 1, CASE WHEN ({_BYTE}) % 2 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+
+@query(
+    "op13_prefix_trie",
+    """WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT c, count(*) AS n, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+y AS (SELECT c, n, c - c % 20 AS b, CRC32 % 4 AS h FROM z),
+g AS (SELECT y.c, y.b, y.h, least(y.h, coalesce(o.n, 0)) AS m FROM y LEFT JOIN y o ON y.b = o.c),
+u AS (SELECT t.c, m + p - h AS d, r, x FROM t JOIN g ON t.c = g.c AND p > h UNION ALL SELECT g.c, p, r, x FROM t JOIN g ON t.c = g.b AND p <= h),
+k AS (SELECT c, d, string_agg(md5(len(r) || ':' || r || x), '') OVER (PARTITION BY c ORDER BY d) AS k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM u
+  UNION ALL SELECT c, 0, '', 0 FROM g),
+e AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY k),
+n AS (SELECT k, d, min(c) AS c, count(*) AS n, any_value(w) AS w, left(k, 32 * CAST(d - 1 AS INT)) AS p FROM k GROUP BY k, d),
+f AS (SELECT p, count(*) AS n FROM n WHERE d > 0 GROUP BY p),
+v AS (SELECT n.*, coalesce(f.n, 0) AS children FROM n LEFT JOIN f ON n.k = f.p),
+q AS (SELECT k.k, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * v.w) AS saved FROM v JOIN k ON k.c = v.c AND k.d <= v.d GROUP BY k.k)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, o.c AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(v.children AS BIGINT) AS n_children,
+  CAST(q.leaves AS BIGINT) AS n_leaves, CAST(q.saved AS BIGINT) AS saved_tokens, coalesce(e.e, sha256('')) AS ends_sha256
+FROM v JOIN q ON v.k = q.k LEFT JOIN n o ON v.d > 0 AND o.k = v.p AND o.d = v.d - 1 LEFT JOIN e ON v.k = e.k""".replace("CRC32", _CRC32),
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from surveyloom.llm import prefix_trie
+
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))

@@ -133,3 +133,97 @@ def contamination(docs, items, width=13):
         names = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out[i] = (len(w), len(hit), len(found), names, bool(hit) and 20 * len(hit) >= len(w))
     return out
+
+
+def hard_negatives(rows, low=(30, 100), high=(90, 100)):
+    """Rows of the mining contract from (vec_id, embedding, label) with unique ids; labels shift where the id is divisible by 7."""
+    good = {}
+    for i, v, label in rows:
+        if i is None or label is None or not v or any(c is None or not math.isfinite(c) for c in v):
+            continue
+        good[i] = ([math.floor(256 * c) for c in v], (label + 1) % 10 if i % 7 == 0 else label)
+    out = []
+    for a, (x, label) in good.items():
+        if a % 100:
+            continue
+        score = {i: sum(p * q for p, q in zip(x, y, strict=True)) for i, (y, _) in good.items() if i != a and len(y) == len(x)}
+        order = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in order if good[i][1] == label][:5]:
+            fit = [i for i in order if good[i][1] != label and low[0] * score[p] <= low[1] * score[i] and high[1] * score[i] <= high[0] * score[p]]
+            out += [(a, p, r, i, score[p], score[i]) for r, i in enumerate(fit[:10], 1)]
+    return sorted(out)
+
+
+def simhash(text, bits=128, width=7):
+    """The fingerprint by plain integers, one vote at a time."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 31
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 29
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ (h >> 32)
+
+    padded = [0] * (width - 1) + [ord(c) + 1 for c in text.lower()] + [0] * (width - 1)
+    count = Counter(tuple(padded[i : i + width]) for i in range(len(padded) - width + 1)) if text else Counter()
+    votes = [0.0] * bits
+    for term, n in count.items():
+        h = 0
+        for c in term:
+            h = (h * (0x9E3779B97F4A7C15 | 1) + c) & mask
+        h = mix(h)
+        raw = b"".join((h if w == 0 else mix(h ^ (w * 0x9E3779B97F4A7C15 & mask))).to_bytes(8, "little") for w in range(bits // 64))
+        for b in range(bits):
+            votes[b] += (1 if raw[b // 8] >> (7 - b % 8) & 1 else -1) * (1 + math.log(n))
+    return np.packbits(np.array(votes) > 0).tobytes()
+
+
+def near_prints(rows, radius):
+    """(n_links, class) by id of (id, fingerprint bytes) with unique ids."""
+    ids = [i for i, _ in rows]
+    x = np.frombuffer(b"".join(f for _, f in rows), np.uint64).reshape(len(rows), -1)
+    near = [np.flatnonzero(np.bitwise_count(x ^ v).sum(axis=1) <= radius).tolist() for v in x]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, found in enumerate(near):
+        for b in found:
+            r, s = root(a), root(b)
+            if r != s:
+                parent[max(r, s, key=lambda k: ids[k])] = min(r, s, key=lambda k: ids[k])
+    return {i: (len(near[k]) - 1, ids[root(k)]) for k, i in enumerate(ids)}
+
+
+def trie(rows):
+    """Nodes of the trie contract from (conv_id, turn, role, text); equal turns must not occur."""
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c in own:
+        h = crc(c, 4)
+        built[c] = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + own[c][h:])
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    out, below = [], {}
+    for node in sorted(members, key=len, reverse=True):
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        kids = [below[k] for k in children[node]]
+        below[node] = (sum(k[0] for k in kids) or 1, (len(members[node]) - 1) * words + sum(k[1] for k in kids))
+        ends = ",".join(str(c) for c in sorted(c for c in members[node] if built[c] == node))
+        parent = min(members[node[:-1]]) if node else None
+        out.append((min(members[node]), len(node), parent, len(members[node]), len(kids), *below[node], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=lambda r: (r[1], r[0]))

@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from surveyloom.session import settle
 
-#: Rows of a segment on average: as columns of 64 doubles it takes 16 MB.
-SEGMENT = 32_768
+#: Rows of a segment at most, on average: as columns of 64 small integers it takes 16 MB. The larger, the fewer copies of the anchors are moved.
+SEGMENT = 131_072
+#: Smaller inputs make more segments, one per shuffle partition, of so many rows at least.
+LEAST_SEGMENT = 4096
 #: Segments whose finds are merged in one step.
 MERGED = 64
 #: Columns read between two looks at the bounds.
@@ -67,7 +69,7 @@ def scan(columns: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndar
     left = np.concatenate([ends.min(axis=0)[::-1].cumsum()[::-1], [0]])
     right = np.concatenate([ends.max(axis=0)[::-1].cumsum()[::-1], [0]])
     at = np.flatnonzero(alive)
-    score = np.zeros(len(at), columns.dtype)
+    score = np.zeros(len(at), anchor.dtype)
     whole = len(at) == columns.shape[1]
     for begin in range(0, len(a), STRIDE):
         if not len(at):
@@ -108,19 +110,19 @@ def _segment(batches: list[pa.RecordBatch]) -> dict[int, dict]:
     out = {}
     for n in np.unique(length):
         at = np.flatnonzero(length == n)
-        columns = values[begin[at][None, :] + np.arange(n)[:, None]]
+        columns = np.empty((n, len(at)), np.int64)
+        for d in range(n):
+            columns[d] = values[begin[at] + d]
         low, high = columns.min(axis=1), columns.max(axis=1)
-        out[int(n)] = {"q": columns, "low": low, "high": high, "ids": ids[at], "rows": rows[at], "labels": labels[at], "peak": int(max(-low.min(), high.max()))}
+        peak = int(max(-low.min(), high.max(), 1))
+        columns = columns.astype(np.int16) if peak < 1 << 15 else columns
+        out[int(n)] = {"q": columns, "low": low, "high": high, "ids": ids[at], "rows": rows[at], "labels": labels[at], "peak": peak}
     return out
 
 
-def _exact(part: dict, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Columns and anchor in doubles where every partial sum and bound is an integer below 2**52, else in 64-bit integers."""
-    if len(anchor) * max(part["peak"], 1) * int(np.abs(anchor).max()) < 1 << 51:
-        if "d" not in part:
-            part["d"] = part["q"].astype(np.float64), part["low"].astype(np.float64), part["high"].astype(np.float64)
-        return *part["d"], anchor.astype(np.float64)
-    return part["q"], part["low"], part["high"], anchor
+def _exact(part: dict, anchor: np.ndarray) -> np.ndarray:
+    """The anchor in doubles where every partial sum and bound is an integer below 2**52, else in 64-bit integers; products take its type."""
+    return anchor.astype(np.float64) if len(anchor) * part["peak"] * int(np.abs(anchor).max()) < 1 << 51 else anchor
 
 
 def _look(rows: DataFrame, anchors: DataFrame, k: int, same_label: bool, segments: int) -> DataFrame:
@@ -129,7 +131,7 @@ def _look(rows: DataFrame, anchors: DataFrame, k: int, same_label: bool, segment
     none = F.lit(None).cast("array<long>")
     held = rows.select(dealt.alias("segment"), F.lit(0).alias("kind"), "vec_id", "row", "label", "q", none.alias("bottom"), none.alias("top"))
     asked = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(segments - 1))).alias("segment"), F.lit(1).alias("kind"), "vec_id", "row", "label", "q", "bottom", "top")
-    both = held.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "kind")
+    both = held.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", "kind")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -173,7 +175,7 @@ def _ask(parts: dict[int, dict], vec_id: int, row: int, label: int, anchor: np.n
     else:
         alive = part["labels"] != label
     spans = [(-math.inf if b is None else b, math.inf if t is None else t) for b, t in windows]
-    at, score = scan(*_exact(part, anchor), alive, spans, k)
+    at, score = scan(part["q"], part["low"], part["high"], _exact(part, anchor), alive, spans, k)
     score = score.astype(np.int64)
     found = []
     for w, (bottom, top) in enumerate(spans):
@@ -207,6 +209,7 @@ def mine(
     low: tuple[int, int] = (30, 100),
     high: tuple[int, int] = (90, 100),
     segment: int = SEGMENT,
+    least: int = LEAST_SEGMENT,
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score.
 
@@ -214,7 +217,8 @@ def mine(
     between ``low`` and ``high`` (fractions, ends included) of the positive's.
     """
     rows = settle(quantised(vectors, F.col("label") if label is None else label), "quantised")
-    segments = max(1, -(-rows.count() // segment))
+    n = rows.count()
+    segments = max(1, -(-n // segment), min(-(-n // least), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     anchors = rows.where(is_anchor)
     free = F.array(F.lit(None).cast("long"))
     found = _look(rows, anchors.withColumns({"bottom": free, "top": free}), positives, True, segments)

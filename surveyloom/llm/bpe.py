@@ -21,10 +21,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from surveyloom.llm.common import chunks, id_and_text
+from surveyloom.llm.common import chunks, id_and_text, released
 
 #: Distinct words after which a task starts a new word index, so that its memory stays bounded.
-WORDS_HELD = 200_000
+WORDS_HELD = 100_000
 NO_PAIR = np.int32(2**31 - 1)
 
 
@@ -195,7 +195,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         columns = ["text", *carried]
-        for text, *rest in chunks(batches, columns, limit=6 << 20):
+        for text, *rest in chunks(batches, columns, limit=2 << 20):
             found = encoder.encode(text)
             out: dict[str, list] = dict(zip(carried, rest, strict=True))
             out["n_tokens"] = [len(ids) for ids in found]
@@ -210,4 +210,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, outputs: Sequence[st
                 out["decoded_sha256"] = [hashlib.sha256(d).hexdigest() for d in decoded]
             yield pa.RecordBatch.from_pydict(out)
 
-    return frame.mapInArrow(run, ", ".join(fields))
+    return frame.mapInArrow(released(run), ", ".join(fields))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,20 @@ def chunks(batches: Iterable[pa.RecordBatch], columns: list[str], text: str = "t
             yield held
 
 
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function over batches; at its end the worker, which waits for other tasks, returns its free memory to the system."""
+
+    def tidy(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return tidy
+
+
 #: Slots of a filter: its size does not depend on how many values it holds; the fuller it is, the more it lets through.
 SLOTS = 1 << 24
 
@@ -79,7 +95,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(in_slots(slots.value, batch.column("d1").to_numpy(zero_copy_only=False)) == copied))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        return keyed.mapInArrow(released(run), keyed.schema)
 
     return part(False).select("text").unionByName(part(True).dropDuplicates(["d1", "d2"]).select("text"))
 

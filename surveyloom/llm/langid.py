@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import chunks, crc_bucket
+from surveyloom.llm.common import chunks, crc_bucket, released
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 13
@@ -91,7 +91,7 @@ def fit(training: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict({"lang": [name] * len(used), "bucket": used, "n": own[used]})
 
     rows = training.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # at most one row per language, however many buckets it fills
     per_language = counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect()
     per_language = sorted(per_language, key=lambda r: r["lang"])
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], ambiguous_below: flo
             pred, score, flag = zip(*out, strict=True)
             yield pa.RecordBatch.from_pydict({c: held[c] for c in keep} | {"lang_pred": pred, "score": score, "ambiguous": flag})
 
-    return docs.select(*names).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(*names).mapInArrow(released(run), f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(id_column: Column) -> Column:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surveyloom.llm.common import chunks, distinct_texts, in_slots, slots_of
+from surveyloom.llm.common import chunks, distinct_texts, in_slots, released, slots_of
 from surveyloom.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
@@ -173,7 +173,7 @@ def find_base(docs: DataFrame) -> DataFrame:
 
     fields = f"doc_id {kind}, k1 long, k2 long, " + ", ".join(f"n_{k} long" for k in KINDS)
     fields += ", d long, base string, mentions array<struct<e:long,t:long,c:long>>"
-    return _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(run, fields)
+    return _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(released(run), fields)
 
 
 class Wanted:
@@ -215,7 +215,7 @@ def texts_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 yield rows()
         yield rows()
 
-    return distinct_texts(docs).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return distinct_texts(docs).mapInArrow(released(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
 
 
 def disclosing(base: DataFrame, docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = BITS) -> DataFrame:
@@ -265,7 +265,7 @@ def term_spans(docs: DataFrame, shown: DataFrame) -> DataFrame:
     own = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''"))
     if terms.isEmpty():
         own = own.where("false")
-    found = own.mapInArrow(run, "k1 long, k2 long, t long, places array<struct<start:int,stop:int>>")
+    found = own.mapInArrow(released(run), "k1 long, k2 long, t long, places array<struct<start:int,stop:int>>")
     hit = found.join(terms, "t").select("k1", "k2", "p", F.explode("places").alias("x")).groupBy("k1", "k2", "x.start", "x.stop").agg(F.max("p").alias("p"))
     return hit.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "p"))).alias("terms"))
 
@@ -311,7 +311,7 @@ def sanitise(docs: DataFrame, columns: list[str]) -> DataFrame:
                 held["n_chars"] = pa.array([None if t is None else len(t) for t in text], kind)
             yield pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
 
-    return joined.select(*columns, "terms").mapInArrow(run, schema)
+    return joined.select(*columns, "terms").mapInArrow(released(run), schema)
 
 
 def digest(spans: str) -> str:

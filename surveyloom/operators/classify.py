@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numbers import rounded, softmax
-from surveyloom.functions.text import PREPROCESS_SPEC_ID, is_blank, preprocess
+from surveyloom.functions.text import PREPROCESS_SPEC_ID, is_blank, normalize_text, preprocess, redact
 from surveyloom.operators.evaluate import classification_metrics
 from surveyloom.operators.features import (
     TERM_FAMILIES,
@@ -28,7 +28,7 @@ from surveyloom.operators.features import (
     sparse_rows,
     tfidf,
     vectors,
-    vocabulary,
+    numbered_terms,
     with_idf,
 )
 from surveyloom.operators.predicates import trainable_rows
@@ -36,6 +36,7 @@ from surveyloom.operators.profile import class_inflation, shares, training_profi
 from surveyloom.operators.ranks import top_per_group
 from surveyloom.operators.sampling import oversample, stratified_split
 from surveyloom.operators.schema import TEXT_NAMES, Roles, canonical, resolve_roles
+from surveyloom.operators.scoring import TermTable, local_logits, local_rows, predicted, term_arrays, term_table
 from surveyloom.session import packed, settle, side_by_side
 
 # Vocabulary caps of the two feature families, and the label column of each task.
@@ -61,6 +62,12 @@ class TextModel:
     def terms(self, df: DataFrame, key: str) -> DataFrame:
         return TERM_FAMILIES[self.family](df, key, self.text_column)
 
+    def table(self) -> TermTable | None:
+        """The weights as a table for row-local scoring, fetched once; None where they are too large for it."""
+        if "_table" not in self.__dict__:
+            self._table = term_table(self.weights, len(self.classes))
+        return self._table
+
     def save(self, path: str) -> None:
         """Weights as parquet, the rest as one row of JSON."""
         self.weights.write.parquet(f"{path}/weights")
@@ -80,11 +87,20 @@ ABOUT = ["name", "task", "family", "classes", "intercepts", "max_features", "tex
 def _training_frame(
     df: DataFrame, key: str, text: str, label: str, family: str, max_features: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary with idf, labelled sparse rows), both written once because training passes over them many times."""
+    """(vocabulary with idf, labelled sparse rows), both written once because training passes over them many times.
+
+    Terms are merged per text before they are counted, and rows are made inside their own row from the capped vocabulary, so only (term, counts) are
+    shuffled. A vocabulary too large to broadcast takes the join.
+    """
     documents = df.select(key, text, label)
-    terms = settle(TERM_FAMILIES[family](documents, key, text), "terms")
-    vocab = settle(with_idf(vocabulary(terms, key, max_features), documents), "vocabulary")
-    rows = sparse_rows(tfidf(terms, vocab, key, max_features), documents, key)
+    terms = documents.select(F.explode(term_arrays(F.col(text), family)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    once = documents.select(F.explode(F.array_distinct(term_arrays(F.col(text), family))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocab = settle(with_idf(numbered_terms(terms.join(once, "term"), max_features), documents), "vocabulary")
+    table = term_table(vocab)
+    if table is not None:
+        rows = local_rows(documents.withColumnRenamed(label, "_label"), text, family, table)
+        return vocab, settle(rows.select(key, "indices", "values", "_label"), "rows")
+    rows = sparse_rows(tfidf(TERM_FAMILIES[family](documents, key, text), vocab, key, max_features), documents, key)
     return vocab, settle(rows.join(documents.select(key, F.col(label).alias("_label")), key), "rows")
 
 
@@ -179,16 +195,26 @@ def _raw_entries(model: TextModel, df: DataFrame, key: str) -> DataFrame:
 
 
 def predict(model: TextModel, df: DataFrame, key: str = "survey_id") -> DataFrame:
-    """(key, pred, conf, probabilities): the most likely class, its probability, and all of them in class order."""
-    classes = F.array(*[F.lit(c) for c in model.classes])
-    scored = logits(model, df, key).select(key, softmax(F.col("logits")).alias("probabilities"))
-    best = F.array_max("probabilities")
-    return scored.select(
-        key,
-        F.element_at(classes, F.array_position("probabilities", best).cast("int")).alias("pred"),
-        best.alias("conf"),
-        "probabilities",
-    )
+    """(key, pred, conf, probabilities): the most likely class, its probability, and all of them in class order.
+
+    Row-local while the weights may be broadcast, else by joins of terms and weights.
+    """
+    if model.table() is not None:
+        return predict_rows(model, df).select(key, "pred", "conf", "probabilities")
+    return predict_by_join(model, df, key)
+
+
+def predict_rows(model: TextModel, df: DataFrame) -> DataFrame:
+    """Adds pred, conf and probabilities to a batch or streaming frame without a shuffle."""
+    table = model.table()
+    if table is None:
+        raise ValueError(f"{model.name}: the weights are too large to broadcast")
+    found = df.withColumn("_logits", local_logits(df, F.col(model.text_column), model.family, table, model.intercepts))
+    return found.withColumns(predicted(F.col("_logits"), model.classes)).drop("_logits")
+
+
+def predict_by_join(model: TextModel, df: DataFrame, key: str = "survey_id") -> DataFrame:
+    return logits(model, df, key).withColumns(predicted(F.col("logits"), model.classes)).drop("logits")
 
 
 def global_importance(model: TextModel, top_n: int = 20) -> DataFrame:
@@ -367,6 +393,8 @@ def warm_start(
 
 
 def scored_rows(model: TextModel, df: DataFrame, label: str, key: str = "survey_id") -> DataFrame:
+    if model.table() is not None:
+        return predict_rows(model, df).drop("probabilities").withColumn("y_true", F.col(label))
     return df.join(predict(model, df, key).select(key, "pred", "conf"), key).withColumn("y_true", F.col(label))
 
 
@@ -448,36 +476,41 @@ def score_table(
 ) -> tuple[DataFrame, DataFrame]:
     """Apply many models to a table: <task>_<name>_pred and _conf columns, and one summary row per model and class.
 
-    Texts are cleaned once. A model that does not fit is listed with its reasons and the others go on.
+    Texts are cleaned once. All models whose weights may be broadcast score in one pass over the rows, written once; others are joined on ``key``. A
+    model that does not fit is listed with its reasons and the others go on.
     """
     roles = resolve_roles(df, stored, overrides)
     assigned = bool(overrides and "text" in overrides) or "text" in (stored or {}).values()
-    out, summaries = df, []
-    cleaned = None
-    for model in models:
-        reasons = incompatibilities(model, df, roles, assigned)
-        if reasons:
-            summaries.append(_summary(df.sparkSession, model, "; ".join(reasons)))
+    reasons = {id(m): incompatibilities(m, df, roles, assigned) for m in models}
+    fitting = [m for m in models if not reasons[id(m)]]
+    out, prefix = df, {id(m): f"{m.task}_{m.name[:8]}" for m in models}
+    if fitting:
+        out = df.withColumn("_clean", redact(normalize_text(F.col(roles.text)))) if any(m.preprocess_spec for m in fitting) else df
+        out = settle(out, "cleaned")
+        texts = {id(m): F.coalesce(F.col("_clean" if m.preprocess_spec else roles.text), F.lit("")) for m in fitting}
+        scored = out
+        for m in fitting:
+            if m.table() is not None:
+                scored = scored.withColumn(f"_of_{prefix[id(m)]}", local_logits(out, texts[id(m)], m.family, m.table(), m.intercepts))
+        for m in fitting:
+            p = prefix[id(m)]
+            if m.table() is not None:
+                found = predicted(F.col(f"_of_{p}"), m.classes)
+                scored = scored.withColumns({f"{p}_pred": found["pred"], f"{p}_conf": found["conf"]}).drop(f"_of_{p}")
+        for m in fitting:
+            if m.table() is None:
+                rows = out.select(key, texts[id(m)].alias(m.text_column))
+                columns = [F.col(c).alias(f"{prefix[id(m)]}_{c}") for c in ("pred", "conf")]
+                scored = scored.join(predict_by_join(m, rows, key).select(key, *columns), key, "left")
+        out = settle(scored.drop("_clean"), "scored")
+    summaries = []
+    for m in models:
+        if reasons[id(m)]:
+            summaries.append(_summary(df.sparkSession, m, "; ".join(reasons[id(m)])))
             continue
-        if cleaned is None:
-            cleaned = settle(preprocess(df.select(key, roles.text), roles.text).select(key, "text_processed", roles.text), "cleaned")
-        source = "text_processed" if model.preprocess_spec else roles.text
-        rows = cleaned.select(key, F.coalesce(F.col(source), F.lit("")).alias(model.text_column))
-        scored = settle(predict(model, rows, key).select(key, "pred", "conf"), "scored")
-        prefix = f"{model.task}_{model.name[:8]}"
-        out = out.join(
-            scored.select(key, F.col("pred").alias(f"{prefix}_pred"), F.col("conf").alias(f"{prefix}_conf")), key, "left"
-        )
-        summaries.append(
-            shares(scored, "pred").select(
-                F.lit(model.name).alias("model"),
-                F.lit(model.task).alias("task"),
-                F.lit(None).cast("string").alias("error"),
-                F.col("label").alias("class"),
-                F.col("n").alias("n_predicted"),
-                "share",
-            )
-        )
+        about = [F.lit(m.name).alias("model"), F.lit(m.task).alias("task"), F.lit(None).cast("string").alias("error")]
+        found = shares(out.withColumnRenamed(f"{prefix[id(m)]}_pred", "pred"), "pred")
+        summaries.append(found.select(*about, F.col("label").alias("class"), F.col("n").alias("n_predicted"), "share"))
     return out, reduce(DataFrame.unionByName, summaries)
 
 

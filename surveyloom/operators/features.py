@@ -41,7 +41,11 @@ TERM_FAMILIES = {"tfidf": word_terms, "char_ngram": char_terms}
 
 def vocabulary(terms: DataFrame, key: str, max_features: int) -> DataFrame:
     """The most frequent terms of the corpus (ties by term), numbered, with their document counts."""
-    counts = terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    return numbered_terms(terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")), max_features)
+
+
+def numbered_terms(counts: DataFrame, max_features: int) -> DataFrame:
+    """The same from a table of (term, total, df)."""
     kept = most_frequent(counts, max_features)
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("total"), F.asc("term"))
     return kept.withColumn("idx", F.row_number().over(order) - 1)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numbers import rounded
 from surveyloom.functions.text import preprocess, spread
-from surveyloom.operators import classify, density, embedding, evaluate, features, fusion, psychometrics, sampling, versions
+from surveyloom.operators import classify, density, embedding, estimator, evaluate, features, fusion, psychometrics, sampling, versions
 from surveyloom.operators.common import with_scalars
 from surveyloom.operators.predicates import subset
 from surveyloom.plans import jobs
@@ -195,6 +196,28 @@ def _k11(spark, sf):
     )
 
 
+@query(
+    "p1_classifier_stage",
+    f"""WITH {SQL_WEIGHTS}, sums AS (SELECT survey_id, class, sum(coalesce(f.w * wt.weight, 0)) AS z FROM (SELECT survey_id, class FROM pred CROSS JOIN (SELECT DISTINCT class FROM wt)) p
+      LEFT JOIN tfidf f ON f.k = p.survey_id LEFT JOIN wt USING (class, term) GROUP BY survey_id, class),
+    e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY survey_id)) AS x FROM sums)
+    SELECT survey_id, first(class ORDER BY x DESC, class) AS pred, {r("max(x) / sum(x)", 6)} AS conf FROM e GROUP BY survey_id""",
+)
+def _p1(spark, sf):
+    docs, _, weights = _weights(spark, sf)
+    classes = [c[0] for c in weights.select("class").distinct().orderBy("class").collect()]
+    terms = features.word_terms(spread(docs), "survey_id", "text_feedback")
+    vocab = features.with_idf(features.vocabulary(terms, "survey_id", 5000), docs)
+    by_term = weights.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "weight"))), lambda w: w["weight"]).alias("w"))
+    table_of = settle(vocab.join(by_term, "term"), "fixed-weights")
+    model = classify.TextModel("fixed", "sentiment", "tfidf", classes, table_of, [0.0] * len(classes), 5000, "text_feedback")
+    stage = estimator.TextClassifierModel(model).setParams(inputCol="text_feedback")
+    path = scratch_path(spark, "pipeline")
+    PipelineModel([stage]).write().save(path)
+    scored = PipelineModel.load(path).transform(docs)
+    return scored.select("survey_id", "pred", rounded(F.col("conf"), 6).alias("conf"))
+
+
 def _fusion_parts(spark, sf):
     frame = _cleaned(spark, sf)
     scores = psychometrics.score_with_loadings(frame, "survey_id", ITEMS, list(FACTORS), LOADINGS)

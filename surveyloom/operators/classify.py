@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,10 @@ MAX_FEATURES = {"tfidf": 50_000, "char_ngram": 100_000}
 TASKS = {"language": "language", "sentiment": "sentiment_class", "detail_level": "detail_level"}
 
 
+#: Tables of weights in use; one goes with the frame it was made from.
+_TABLES: WeakKeyDictionary[DataFrame, TermTable | None] = WeakKeyDictionary()
+
+
 @dataclass
 class TextModel:
     """Term weights (term, idx, idf, w: one weight per class), intercepts, classes, and what the model expects."""
@@ -64,9 +69,9 @@ class TextModel:
 
     def table(self) -> TermTable | None:
         """The weights as a table for row-local scoring, fetched once; None where they are too large for it."""
-        if "_table" not in self.__dict__:
-            self._table = term_table(self.weights, len(self.classes))
-        return self._table
+        if self.weights not in _TABLES:
+            _TABLES[self.weights] = term_table(self.weights, len(self.classes))
+        return _TABLES[self.weights]
 
     def save(self, path: str) -> None:
         """Weights as parquet, the rest as one row of JSON."""

@@ -20,10 +20,18 @@ from surveyloom.session import settle
 MAX_PAIRS = 4096
 
 
+def placed_rows(points: DataFrame, key: str) -> DataFrame:
+    """(key, x, y) of every row; coordinates that are missing or not numbers are null, together."""
+    x, y = (F.col(c).cast("double") for c in ("x", "y"))
+    known = ~(F.coalesce(F.isnan(x) | F.isnan(y) | (F.abs(x) == float("inf")) | (F.abs(y) == float("inf")), F.lit(True)))
+    return points.select(key, F.when(known, x).alias("x"), F.when(known, y).alias("y"))
+
+
 def locations(points: DataFrame, key: str) -> DataFrame:
-    """(x, y, w, first): distinct places with the number of rows and the smallest key at each."""
+    """(x, y, w, first): distinct places with the number of rows and the smallest key at each; rows without a place are left out."""
     return (
-        points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        placed_rows(points, key)
+        .where("x IS NOT NULL")
         .groupBy("x", "y")
         .agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("first"))
     )
@@ -71,9 +79,9 @@ def dbscan_cores(points: DataFrame, key: str, eps: float, min_samples: int, salt
 
 
 def dbscan_flags(points: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """(key, is_core) of every row."""
+    """(key, is_core) of every row; one without a place is no core."""
     cores = dbscan_cores(points, key, eps, min_samples).select("x", "y", "is_core")
-    return points.select(key, F.col("x").cast("double"), F.col("y").cast("double")).join(cores, ["x", "y"]).select(key, "is_core")
+    return placed_rows(points, key).join(cores, ["x", "y"], "left").select(key, F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
 def _linked_cells(cores: DataFrame, eps: float, side: float) -> DataFrame:
@@ -191,7 +199,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(points: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """(key, is_core, cluster): clusters numbered from 0 by their smallest core key, noise -1.
 
-    A border point joins the cluster with the smallest number among the core points within eps.
+    A border point joins the cluster with the smallest number among the core points within eps. Rows without a place are noise.
     """
     side = eps / np.sqrt(2.0)
     places = settle(dbscan_cores(points, key, eps, min_samples), "cores")
@@ -222,8 +230,7 @@ def dbscan(points: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5)
         .withColumnsRenamed({"qx": "x", "qy": "y"})
     )
     known = core_rows.withColumn("is_core", F.lit(True)).unionByName(reached.withColumn("is_core", F.lit(False)))
-    rows = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    joined = rows.join(known, ["x", "y"], "left")
+    joined = placed_rows(points, key).join(known, ["x", "y"], "left")
     return joined.select(
         key, F.coalesce("is_core", F.lit(False)).alias("is_core"), F.coalesce("cluster", F.lit(-1)).cast("bigint").alias("cluster")
     )
@@ -364,7 +371,10 @@ def _first_k_rows(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def local_outlier_factor(points: DataFrame, key: str, k: int = 5, leaf_rows: int = 512) -> DataFrame:
-    """(key, outlier_score): the local outlier factor over the k nearest other rows, ties in distance by coordinates."""
+    """(key, x, y, outlier_score): the local outlier factor over the k nearest other rows, ties in distance by coordinates.
+
+    Every row stays: one without any other to compare with scores 1, one without a place has no score.
+    """
     places = settle(locations(points, key).select("x", "y", "w"), "places")
     near = settle(nearest_places(places, k, leaf_rows), "near")
     reach = near.groupBy("qx", "qy").agg(F.max("d").alias("kd"), F.sum("w").alias("m"))
@@ -381,8 +391,8 @@ def local_outlier_factor(points: DataFrame, key: str, k: int = 5, leaf_rows: int
         .join(lrd, ["qx", "qy"])
         .select(F.col("qx").alias("x"), F.col("qy").alias("y"), (F.col("mean_other") / F.col("lrd")).alias("outlier_score"))
     )
-    rows = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.join(ratio, ["x", "y"]).select(key, "x", "y", "outlier_score")
+    score = F.when(F.col("x").isNotNull(), F.coalesce("outlier_score", F.lit(1.0)))
+    return placed_rows(points, key).join(ratio, ["x", "y"], "left").select(key, "x", "y", score.alias("outlier_score"))
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -426,13 +436,14 @@ def isolation_scores(points: DataFrame, key: str, trees: int = 100, sample: int
     """(key, x, y, outlier_score) from trees grown on small random samples.
 
     A hash of row and tree decides which rows a tree sees: only rows under the threshold are repeated, and each tree
-    keeps exactly the smallest ``sample`` hashes. Trees are a bounded table that every worker reads.
+    keeps exactly the smallest ``sample`` hashes. Trees are a bounded table that every worker reads. Rows without a place have no score.
     """
-    n = points.count()
+    every = placed_rows(points, key)
+    rows = every.where("x IS NOT NULL")
+    n = rows.count()
     if n == 0:
-        return points.select(key, "x", "y", F.lit(0.0).alias("outlier_score"))
+        return every.withColumn("outlier_score", F.lit(None).cast("double"))
     chance = min(1.0, (sample + 8.0 * np.sqrt(sample) + 16.0) / n)
-    rows = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     chosen = F.filter(numbers, lambda t: uniform_from_hash(F.col(key), t, F.lit(seed)) < chance)
     drawn = rows.select(key, "x", "y", F.explode(chosen).alias("tree")).withColumn(
@@ -468,4 +479,5 @@ def isolation_scores(points: DataFrame, key: str, trees: int = 100, sample: int
             total += nodes[at, 4]
         return pd.Series(total / max(1, len(forest.value)))
 
-    return rows.withColumn("outlier_score", F.pow(F.lit(2.0), -depth("x", "y") / F.lit(usual)))
+    score = F.pow(F.lit(2.0), -depth("x", "y") / F.lit(usual))
+    return every.withColumn("outlier_score", F.when(F.col("x").isNotNull(), score))

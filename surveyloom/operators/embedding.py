@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveyloom.functions.numbers import rounded
+from surveyloom.operators import density
 from surveyloom.operators.features import MAX_BROADCAST_TERMS, sparse_rows, tfidf, vocabulary, with_idf, word_terms
 from surveyloom.operators.schema import label_columns
 from surveyloom.session import packed, settle, side_by_side
@@ -125,10 +126,48 @@ def cluster_sizes(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def flag_top_share(scored: DataFrame, score: str = "outlier_score", contamination: float = 0.1) -> DataFrame:
-    """Mark the rows whose score lies above the exact (1 - contamination) quantile; scores are shown with six decimals."""
+    """Mark the rows whose score lies above the exact (1 - contamination) quantile; scores are shown with six decimals. No score is no outlier."""
     from surveyloom.operators.ranks import exact_quantiles
 
     rows = scored.select(F.lit("all").alias("_key"), score)
     limit = exact_quantiles(rows, ["_key"], F.col(score), [1.0 - contamination]).select("_key", F.col("q0").alias("_limit"))
-    joined = scored.withColumn("_key", F.lit("all")).join(F.broadcast(limit), "_key")
-    return joined.withColumn("is_outlier", F.col(score) > F.col("_limit")).withColumn(score, rounded(F.col(score), 6)).drop("_key", "_limit")
+    joined = scored.withColumn("_key", F.lit("all")).join(F.broadcast(limit), "_key", "left")
+    return joined.withColumn("is_outlier", F.coalesce(F.col(score) > F.col("_limit"), F.lit(False))).withColumn(score, rounded(F.col(score), 6)).drop("_key", "_limit")
+
+
+def outlier_table(points: DataFrame, key: str, method: str = "lof", contamination: float = 0.1, neighbours: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(key, x, y, outlier_score, is_outlier) of every row, and one row of method, n_neighbors, n_rows and n_outliers.
+
+    Fewer than three points have no neighbourhoods to compare: the forest scores them. Neighbours are at least two and at most all the others.
+    """
+    if method not in ("lof", "isolation_forest"):
+        raise ValueError(f"unknown method {method!r}")
+    rows = density.placed_rows(points, key).where("x IS NOT NULL").limit(neighbours + 1).count()
+    used = method if method == "isolation_forest" or rows >= 3 else "isolation_forest"
+    k = max(2, min(neighbours, max(2, rows - 1)))
+    scored = density.local_outlier_factor(points, key, k) if used == "lof" else density.isolation_scores(points, key, seed=seed)
+    found = settle(flag_top_share(settle(scored, "scores"), contamination=contamination), "outliers")
+    about = found.agg(
+        F.lit(used).alias("method"),
+        F.lit(k if used == "lof" else None).cast("int").alias("n_neighbors"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if("is_outlier").alias("n_outliers"),
+    )
+    return found, about
+
+
+def cluster_table(points: DataFrame, key: str, method: str = "kmeans", k: int = 3, eps: float = 0.5, min_samples: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(key, x, y, cluster) of every row, and the number of rows of each cluster. Noise, and rows without a place, are in cluster -1."""
+    if method == "dbscan":
+        found = points.select(key, "x", "y").join(density.dbscan(points, key, eps, min_samples).select(key, "cluster"), key)
+    elif method == "kmeans":
+        placed = density.placed_rows(points, key).where("x IS NOT NULL")
+        if placed.isEmpty():
+            found = points.select(key, "x", "y", F.lit(-1).alias("cluster"))
+        else:
+            clusters = kmeans(settle(placed, "placed"), k, seed=seed)[0].select(key, "cluster")
+            found = points.select(key, "x", "y").join(clusters, key, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    found = settle(found.withColumn("cluster", F.col("cluster").cast("bigint")), "clusters")
+    return found, cluster_sizes(found)

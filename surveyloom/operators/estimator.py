@@ -99,9 +99,8 @@ class TextClassifierModel(_Columns, Model, MLReadable, MLWritable):
             raise ValueError(f"columns exist already: {sorted(taken)}")
         model, key = self.text_model, of("keyCol")
         text = "_text_of_row"
-        local = TextModel(**{**{f: getattr(model, f) for f in model.__dataclass_fields__}, "text_column": text})
+        local = TextModel(**{**model.__dict__, "text_column": text})
         if model.table() is not None:
-            local._table = model.table()
             found = predict_rows(local, dataset.select(F.struct("*").alias("_all"), F.col(of("inputCol")).alias(text)))
             return found.select("_all.*", *[F.col(c).alias(n) for n, c in names.items()])
         found = predict_by_join(local, dataset.withColumn(text, F.col(of("inputCol"))), key)

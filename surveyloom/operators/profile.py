@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.intervals import t_bounds, wilson
 from surveyloom.functions.numbers import blank_to_empty, level_key, number, rounded, safe_ratio, to_number
 from surveyloom.functions.text import is_blank, word_count
-from surveyloom.operators.common import with_scalars
-from surveyloom.operators.ranks import exact_quantiles, quantiles_of_counts, top_per_group, value_counts
-from surveyloom.session import settle
+from surveyloom.operators.ranks import exact_quantiles, top_per_group
+from surveyloom.operators.resample import Moments, bootstrap_metric
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -283,33 +278,6 @@ def training_profile(df: DataFrame, text: str, label: str, vocabulary: DataFrame
     )
 
 
-#: Distinct values whose resampling weights are drawn in one go.
-VALUES_PER_DRAW = 1024
-
-
-def _weights(batches: Iterator[pd.DataFrame], n_resamples: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(values, weights: values x resamples) of each hash bucket of distinct values: n copies drawn with replacement are Poisson(n) copies.
-
-    A bucket is drawn in the order of its values, so partitioning does not matter. Rows come sorted by bucket and value.
-    """
-
-    def drawn(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        rng = np.random.default_rng([seed, int(part["_draw"].iloc[0])])
-        return part["_v"].to_numpy(), rng.poisson(part["_n"].to_numpy()[:, None], (len(part), n_resamples))
-
-    held = None
-    for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf])
-        if not len(pdf):
-            continue
-        last = pdf["_draw"].iloc[-1]
-        for _, part in pdf[pdf["_draw"] != last].groupby("_draw", sort=False):
-            yield drawn(part)
-        held = pdf[pdf["_draw"] == last]
-    if held is not None and len(held):
-        yield drawn(held)
-
-
 def bootstrap_interval(
     df: DataFrame,
     value: Column,
@@ -318,56 +286,9 @@ def bootstrap_interval(
     seed: int = 42,
     confidence: float = 0.95,
 ) -> DataFrame:
-    """Percentile bootstrap interval of ``mean``, ``sum``, ``std``, or the quantile at a number between 0 and 1.
-
-    Equal values are merged first, and weights depend only on values and seed. Means, sums and deviations keep running sums per replicate and
-    task: as many rows per task as there are replicates reach the shuffle, whatever the table's size. A quantile is the exact
-    one of every replicate's weighted values, found by ranges of values like any other grouped quantile.
-    """
-    alpha = (1.0 - confidence) / 2.0
-    counts = settle(value_counts(df.select(value.alias("_value")), [], to_number(F.col("_value"))), "value-counts")
-    buckets = max(1, -(-counts.count() // VALUES_PER_DRAW))
-    dealt = counts.withColumn("_draw", F.pmod(F.xxhash64("_v"), F.lit(buckets))).repartition("_draw").sortWithinPartitions("_draw", "_v")
-    n, s, q = F.sum("_n"), F.sum(F.col("_v") * F.col("_n")), F.sum(F.col("_v") * F.col("_v") * F.col("_n"))
-
-    def of(n: Column, s: Column, q: Column) -> Column:
-        shapes = {"mean": s / n, "sum": s, "std": F.sqrt(F.greatest(F.lit(0.0), (q - s * s / n) / F.greatest(n - 1, F.lit(1))))}
-        return shapes[metric]
-
-    if isinstance(metric, str):
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((3, n_resamples))
-            for values, w in _weights(batches, n_resamples, seed):
-                sums += np.stack([w.sum(axis=0), values @ w, (values * values) @ w])
-            yield pd.DataFrame({"replicate": np.arange(n_resamples), "w": sums[0], "s": sums[1], "q": sums[2]})
-
-        sums = dealt.mapInPandas(partial, "replicate int, w double, s double, q double")
-        sums = sums.groupBy("replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-        draws = sums.where(F.col("w") > 0).select(of(F.col("w"), F.col("s"), F.col("q")).alias("draw"))
-        estimate = counts.agg(n.alias("n"), of(n, s, q).alias("_estimate"))
-    else:
-
-        def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for values, w in _weights(batches, n_resamples, seed):
-                at, replicate = np.nonzero(w)
-                yield pd.DataFrame({"replicate": replicate, "_v": values[at], "_n": w[at, replicate]})
-
-        replicates = settle(dealt.mapInPandas(resampled, "replicate int, _v double, _n bigint"), "replicates")
-        draws = quantiles_of_counts(replicates, ["replicate"], [metric]).select(F.col("q0").alias("draw"))
-        whole = quantiles_of_counts(counts.withColumn("_key", F.lit(0)), ["_key"], [metric]).select(F.col("q0").alias("_estimate"))
-        estimate = with_scalars(counts.agg(n.alias("n")), whole)
-    bounds = draws.agg(
-        F.percentile("draw", F.array(F.lit(alpha), F.lit(1 - alpha))).alias("_q"), F.count("draw").alias("n_resamples")
-    )
-    joined = estimate.withColumn("_one", F.lit(1)).join(bounds.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
-        "n",
-        rounded(F.col("_estimate")).alias("estimate"),
-        rounded(F.col("_q")[0]).alias("low"),
-        rounded(F.col("_q")[1]).alias("high"),
-        "n_resamples",
-    )
+    """Percentile bootstrap interval of ``mean``, ``sum``, ``std``, or the quantile at a number between 0 and 1; see ``resample`` for metrics of one's own."""
+    chosen = Moments(metric) if isinstance(metric, str) else metric
+    return bootstrap_metric(df, value, chosen, n_resamples, seed, confidence)
 
 
 def quartile_histogram(summary: DataFrame) -> DataFrame:

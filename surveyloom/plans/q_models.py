@@ -332,7 +332,15 @@ def _k20(spark, sf):
     return density.dbscan_flags(_planar(spark, sf), "row_idx", 0.2, 8)
 
 
-@query("k20_dbscan_clusters")
+SQL_CLUSTERS = f"""WITH RECURSIVE {SQL_PLANAR}, near AS (SELECT a.row_idx AS a, b.row_idx AS b FROM pts a JOIN pts b ON (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) <= 0.2::DOUBLE * 0.2::DOUBLE),
+    core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 8), link AS (SELECT a, b FROM near SEMI JOIN core USING (a) WHERE b IN (SELECT a FROM core)),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+    label AS (SELECT a, dense_rank() OVER (ORDER BY min(b)) - 1 AS cluster FROM reach GROUP BY a),
+    found AS (SELECT p.row_idx, c.a IS NOT NULL AS is_core, coalesce(c.cluster, (SELECT min(l.cluster) FROM near n JOIN label l ON l.a = n.b WHERE n.a = p.row_idx), -1) AS cluster
+      FROM pts p LEFT JOIN label c ON c.a = p.row_idx)"""
+
+
+@query("k20_dbscan_clusters", f"{SQL_CLUSTERS} SELECT * FROM found")
 def _k20b(spark, sf):
     return density.dbscan(_planar(spark, sf), "row_idx", 0.2, 8)
 
@@ -360,6 +368,23 @@ def _k23(spark, sf):
     return embedding.flag_top_share(settle(scored, "scores"))
 
 
+@query("k20_cluster_counts", f"{SQL_CLUSTERS} SELECT cluster, count(*) AS n FROM found GROUP BY cluster")
+def _k20c(spark, sf):
+    return embedding.cluster_table(_planar(spark, sf), "row_idx", "dbscan", eps=0.2, min_samples=8)[1]
+
+
+@query(
+    "k23_lof_table",
+    f"""WITH {SQL_PLANAR}, nn AS (SELECT a.row_idx AS q, b.row_idx AS o, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d,
+    row_number() OVER (PARTITION BY a.row_idx ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.x, b.y) AS i FROM pts a JOIN pts b ON a.row_idx <> b.row_idx QUALIFY i <= 20),
+    kd AS (SELECT q, max(d) AS kd FROM nn GROUP BY q), lrd AS (SELECT nn.q, 20 / (sum(greatest(d, kd)) + 1e-10::DOUBLE * 20) AS lrd FROM nn JOIN kd ON kd.q = nn.o GROUP BY nn.q),
+    lof AS (SELECT nn.q AS row_idx, avg(o.lrd) / any_value(s.lrd) AS score FROM nn JOIN lrd o ON o.q = nn.o JOIN lrd s ON s.q = nn.q GROUP BY nn.q)
+    SELECT row_idx, {r("score", 6)} AS outlier_score, score > (SELECT quantile_cont(score, 0.9) FROM lof) AS is_outlier FROM lof""",
+)
+def _k23b(spark, sf):
+    return embedding.outlier_table(_planar(spark, sf), "row_idx")[0].select("row_idx", "outlier_score", "is_outlier")
+
+
 @query(
     "k24_external_encoder",
     f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),

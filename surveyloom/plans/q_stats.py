@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions import text as T
 from surveyloom.functions.intervals import wilson
 from surveyloom.functions.numbers import rounded
-from surveyloom.operators import align, association, compare, contradiction, evaluate, profile, psychometrics, ranks, sampling
+from surveyloom.operators import align, association, compare, contradiction, evaluate, profile, psychometrics, ranks, resample, sampling
 from surveyloom.operators.common import with_scalars
 from surveyloom.operators.versions import branch_heads, next_versions, version_history
 from surveyloom.plans.q_tables import SQL_SPLIT, not_blank, sql_words
@@ -333,6 +333,69 @@ def _p2(spark, sf):
     return _bracketed(profile.bootstrap_interval(table(spark, sf, "events"), F.col("value"), 0.5, n_resamples=200))
 
 
+class TrimmedMean:
+    """A metric of the user's own: the mean of the values between two bounds."""
+
+    def __init__(self, low: float, high: float):
+        self.low, self.high = low, high
+
+    def init(self, n):
+        return np.zeros((2, n))
+
+    def update(self, state, values, weights):
+        inside = ((values >= self.low) & (values <= self.high)).astype(float)
+        return state + np.stack([inside @ weights, (values * inside) @ weights])
+
+    def merge(self, left, right):
+        return left + right
+
+    def finish(self, state):
+        return np.where(state[0] > 0, state[1] / np.maximum(state[0], 1), np.nan)
+
+
+def sql_draws(source: str, unit: str, value: str, n: int, seed: int = 42) -> str:
+    """Relation ``w`` (r, v, w) of the portable bootstrap weights; replicate 0 is the data itself."""
+    weight = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in resample.POISSON_ONE)
+    return f"""WITH u AS (SELECT {value} AS v, r, ('0x' || substr(md5('{seed}:' || {unit} || ':' || r), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
+      FROM {source}, (SELECT unnest(range(1, {n + 1})) AS r) WHERE {value} IS NOT NULL AND NOT isnan({value})),
+    w AS (SELECT r, v, {weight} AS w FROM u UNION ALL SELECT 0, {value}, 1 FROM {source} WHERE {value} IS NOT NULL AND NOT isnan({value}))"""
+
+
+def sql_interval(n: int, digits: int = 4) -> str:
+    """The result row from a relation ``d`` (r, m) of the metric per replicate and the weights ``w``."""
+    bound = "(SELECT quantile_cont(m, {}) FROM d WHERE r > 0)"
+    cells = {"estimate": "(SELECT m FROM d WHERE r = 0)", "low": bound.format(0.025), "high": bound.format(0.975)}
+    shown = ", ".join(f"{r(c, digits)} AS {k}" for k, c in cells.items())
+    return f"SELECT (SELECT count(*) FROM w WHERE r = 0) AS n, {shown}, (SELECT count(*) FROM d WHERE r > 0) AS n_resamples"
+
+
+@query(
+    "p2_user_metric",
+    f"""{sql_draws("events", "event_id", "value", 60)}, d AS (SELECT r, sum(v * w) / sum(w) AS m FROM w WHERE v BETWEEN 2 AND 20 AND w > 0 GROUP BY r) {sql_interval(60)}""",
+)
+def _p2b(spark, sf):
+    return resample.bootstrap_metric(table(spark, sf, "events"), F.col("value"), TrimmedMean(2.0, 20.0), 60, unit=F.col("event_id"))
+
+
+@query(
+    "j4_quantile_draws",
+    f"""{sql_draws("events", "event_id", "value", 40)}, c AS (SELECT r, v, sum(w) AS w FROM w WHERE w > 0 GROUP BY r, v),
+    e AS (SELECT r, v, sum(w) OVER (PARTITION BY r ORDER BY v) AS e, w, 0.9::DOUBLE * (sum(w) OVER (PARTITION BY r) - 1) AS p FROM c),
+    x AS (SELECT r, any_value(p) AS p, max(v) FILTER (WHERE floor(p) >= e - w AND floor(p) < e) AS lo, max(v) FILTER (WHERE ceil(p) >= e - w AND ceil(p) < e) AS hi FROM e GROUP BY r),
+    d AS (SELECT r, lo + (hi - lo) * (p - floor(p)) AS m FROM x) {sql_interval(40)}""",
+)
+def _j4b(spark, sf):
+    return resample.bootstrap_metric(table(spark, sf, "events"), F.col("value"), 0.9, 40, unit=F.col("event_id"))
+
+
+@query(
+    "f7_mean_draws",
+    f"""{sql_draws("events", "event_id", "value", 60)}, d AS (SELECT r, sum(v * w) / sum(w) AS m FROM w GROUP BY r) {sql_interval(60)}""",
+)
+def _f7b(spark, sf):
+    return resample.bootstrap_metric(table(spark, sf, "events"), F.col("value"), resample.Moments("mean"), 60, unit=F.col("event_id"))
+
+
 @query(
     "f8_distributions",
     """SELECT 'language' AS "column", language AS value, count(*) AS count FROM results GROUP BY 2 UNION ALL SELECT 'sentiment_pred', sentiment_pred, count(*) FROM results GROUP BY 2

@@ -123,3 +123,24 @@ def test_lineage_is_cycle_safe(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")
     got = {(r["node"], r["ancestor"], r["depth"]) for r in versions.lineage(nodes, "id", "parent").collect()}
     assert got == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("x", "y", 1), ("y", "x", 1)}
+
+
+def test_no_row_is_lost_without_neighbours_or_place(spark):
+    rows = [(i, float(i % 5), float(i // 5)) for i in range(20)] + [(90, None, 1.0), (91, 2.0, float("nan"))]
+    points = spark.createDataFrame(rows, "row_idx long, x double, y double")
+    scores = {r["row_idx"]: r["outlier_score"] for r in density.local_outlier_factor(points, "row_idx", 3).collect()}
+    assert len(scores) == 22 and scores[90] is scores[91] is None and None not in [scores[i] for i in range(20)]
+    assert density.dbscan_flags(points, "row_idx", 1.1, 3).count() == density.dbscan(points, "row_idx", 1.1, 3).count() == 22
+    assert density.dbscan(points, "row_idx", 1.1, 3).where("row_idx >= 90 and cluster = -1").count() == 2
+    forest = density.isolation_scores(points, "row_idx")
+    assert forest.count() == 22 and forest.where("outlier_score IS NULL").count() == 2
+    one = points.where("row_idx = 3")
+    assert [r["outlier_score"] for r in density.local_outlier_factor(one, "row_idx").collect()] == [1.0]
+    for some, used in ((points, "lof"), (one, "isolation_forest"), (points.where("row_idx < 3"), "lof"), (points.where("row_idx > 50"), "isolation_forest")):
+        table, about = embedding.outlier_table(some, "row_idx", neighbours=50)
+        assert table.count() == some.count() and about.first()["method"] == used and about.first()["n_rows"] == some.count()
+    assert embedding.outlier_table(points, "row_idx", neighbours=50)[1].first()["n_neighbors"] == 19
+    for method in ("kmeans", "dbscan"):
+        table, counts = embedding.cluster_table(points, "row_idx", method, k=3, eps=1.1, min_samples=3)
+        assert table.count() == 22 and counts.agg(F.sum("n")).first()[0] == 22 and table.where("row_idx >= 90 and cluster = -1").count() == 2
+    assert embedding.cluster_table(points.where("row_idx > 90"), "row_idx")[1].first()["cluster"] == -1

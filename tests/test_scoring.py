@@ -61,7 +61,7 @@ def test_scoring_shuffles_nothing_and_streams(spark, cleaned, model, tmp_path):
 def test_large_weights_take_the_join(monkeypatch, cleaned, model):
     want = by_key(classify.predict(model, cleaned))
     monkeypatch.setattr(scoring, "LOCAL_BYTES", 100)
-    wide = classify.TextModel(**{f: getattr(model, f) for f in model.__dataclass_fields__})
+    wide = classify.TextModel(**{**model.__dict__, "weights": model.weights.select("*")})
     assert wide.table() is None
     got = by_key(classify.predict(wide, cleaned))
     assert {k: r["pred"] for k, r in got.items()} == {k: r["pred"] for k, r in want.items()}
@@ -71,7 +71,7 @@ def test_large_weights_take_the_join(monkeypatch, cleaned, model):
 
 def test_score_table_keeps_repeated_rows(cleaned, model):
     twice = cleaned.withColumnRenamed("survey_id", "row_idx").unionByName(cleaned.withColumnRenamed("survey_id", "row_idx"))
-    raw = classify.TextModel(**{**{f: getattr(model, f) for f in model.__dataclass_fields__}, "preprocess_spec": None, "name": "raw"})
+    raw = classify.TextModel(**{**model.__dict__, "preprocess_spec": None, "name": "raw"})
     out, summary = classify.score_table(twice, [model, raw], overrides={"text": "text_processed"})
     assert out.count() == twice.count() and summary.select("model").distinct().count() == 2
     assert len([c for c in out.columns if c.endswith(("_pred", "_conf"))]) == 4

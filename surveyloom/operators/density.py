@@ -18,6 +18,7 @@ from surveyloom.operators.ranks import dense_index, hash_rank, top_per_group
 from surveyloom.session import settle
 
 MAX_PAIRS = 4096
+FANOUT = 64
 
 
 def placed_rows(points: DataFrame, key: str) -> DataFrame:
@@ -243,23 +244,51 @@ def dbscan(points: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5)
 NEIGHBOUR = "qx double, qy double, x double, y double, w bigint, d double"
 
 
-def _leaves(places: DataFrame, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Cut the plane into strips of equal count by x and each strip into leaves of equal count by y.
+def _cuts(low: Column, high: Column, quantiles: Column) -> Column:
+    """The values a cell may be cut after: all lie below its largest, so both sides of a cut hold places."""
+    some = F.array_distinct(F.concat(F.array(low), F.filter(quantiles, lambda e: e < high)))
+    return F.when(low < high, some).otherwise(F.array().cast("array<double>"))
 
-    Returns the places with strip and leaf, and the leaf edges as one array per strip. Strip edges are a bounded list
-    on the driver.
+
+def _leaves(places: DataFrame, leaf_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Cut the plane until no leaf holds more than ``leaf_rows`` distinct places, whatever values repeat on an axis.
+
+    Each round cuts every larger cell into up to ``FANOUT`` slabs along the axis with more distinct quantiles, or the wider one. Places of a cell differ,
+    so at most one axis can repeat a value for over half of them, and the number of rounds grows with the logarithm of the places. Returns the places with
+    their ``leaf`` and ``cap``, the distance to the far corner of the last cell that was cut, and the cells of every round below the root:
+    (parent, leaf, closed, x0, x1, y0, y1). A cell's name starts with its parent's.
     """
-    n = places.count()
-    strips = max(1, int(np.sqrt(n / leaf_rows)))
-    probs = [i / strips for i in range(1, strips)]
-    cuts = sorted(set(places.approxQuantile("x", probs, 0.2 / strips))) if probs else []
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    striped = places.withColumn("strip", F.size(F.filter(edges, lambda e: e < F.col("x"))))
-    grid = F.array(*[F.lit(i / (strips + 1)) for i in range(1, strips + 1)])
-    marks = striped.groupBy("strip").agg(F.percentile_approx("y", grid, F.lit(max(1000, 5 * strips))).alias("marks"))
-    marks = settle(marks, "marks")
-    leafed = striped.join(marks, "strip").withColumn("leaf", F.size(F.filter("marks", lambda e: e < F.col("y"))))
-    return leafed.drop("marks"), marks
+    grid = F.array(*[F.lit(i / FANOUT) for i in range(1, FANOUT)])
+    rest = places.withColumns({"leaf": F.lit("0"), "cap": F.lit(float("inf"))})
+    closed, levels = [], []
+    while True:
+        edges = {f"{c}s": F.percentile_approx(c, grid, F.lit(2000)) for c in "xy"}
+        sides = {f"{c}{i}": f(c) for c in "xy" for i, f in enumerate((F.min, F.max))}
+        cells = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in (sides | edges).items()])
+        cuts = {f"{c}s": _cuts(F.col(f"{c}0"), F.col(f"{c}1"), F.col(f"{c}s")) for c in "xy"}
+        cells = settle(cells.withColumns(cuts).withColumn("closed", F.col("n") <= leaf_rows), "cells")
+        if closed:  # below the root
+            parent = F.expr("substring(leaf, 1, length(leaf) - length(substring_index(leaf, '.', -1)) - 1)")
+            levels.append(cells.select(parent.alias("parent"), "leaf", "closed", *sides))
+        large = cells.where(~F.col("closed"))
+        closed.append(rest.join(cells.where("closed"), "leaf", "left_semi"))
+        if large.isEmpty():
+            break
+        by_x = (F.size("xs") > F.size("ys")) | ((F.size("xs") == F.size("ys")) & (F.col("x1") - F.col("x0") >= F.col("y1") - F.col("y0")))
+        slabs = F.least(F.lit(FANOUT), F.ceil(2 * F.col("n") / leaf_rows), F.size("cut") + 1).cast("int")
+        thinned = F.transform(F.sequence(F.lit(1), F.col("slabs") - 1), lambda i: F.element_at("cut", F.floor(i * (F.size("cut") + 1) / F.col("slabs")).cast("int")))
+        plan = large.withColumns({"by_x": by_x, "cut": F.when(by_x, F.col("xs")).otherwise(F.col("ys"))}).withColumn("slabs", slabs).withColumn("cut", thinned)
+        wide = F.greatest(F.col("x") - F.col("x0"), F.col("x1") - F.col("x"))
+        high = F.greatest(F.col("y") - F.col("y0"), F.col("y1") - F.col("y"))
+        slab = F.size(F.filter("cut", lambda e: e < F.when(F.col("by_x"), F.col("x")).otherwise(F.col("y"))))
+        split = rest.join(plan.select("leaf", "by_x", "cut", *sides), "leaf").withColumns(
+            {"leaf": F.concat_ws(".", "leaf", slab.cast("string")), "cap": F.sqrt(wide * wide + high * high) * (1 + 1e-12)}
+        )
+        rest = settle(split.select(*places.columns, "leaf", "cap"), "split")
+    leafed = closed[0]
+    for part in closed[1:]:
+        leafed = leafed.unionByName(part)
+    return leafed, levels
 
 
 def _nearest(qx, qy, x, y, w, k) -> list[tuple]:
@@ -291,10 +320,10 @@ def _nearest(qx, qy, x, y, w, k) -> list[tuple]:
 def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows: int = 2048) -> DataFrame:
     """(qx, qy, x, y, w, d): for every place the nearest places until they hold k rows, exactly.
 
-    First each leaf is searched on its own, which bounds the k-th distance. Then a place whose circle leaves its leaf
-    asks the leaves it overlaps. Leaves hold a bounded number of distinct places, and their queries come in chunks.
+    First each leaf is searched on its own, which bounds the k-th distance; in a leaf of fewer rows the cell above bounds it. Then the circles descend
+    the cells round by round to the other leaves they meet. Leaves hold a bounded number of distinct places, and their queries come in chunks.
     """
-    leafed, marks = _leaves(places.select("x", "y", "w"), leaf_rows)
+    leafed, levels = _leaves(places.select("x", "y", "w"), max(leaf_rows, k + 1))
     leafed = settle(leafed, "leaves")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -302,44 +331,33 @@ def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows:
         rows = _nearest(x, y, x, y, w, k)
         return pd.DataFrame(rows, columns=["qx", "qy", "x", "y", "w", "d"])
 
-    local = settle(leafed.groupBy("strip", "leaf").applyInPandas(inside, NEIGHBOUR), "local")
+    local = settle(leafed.groupBy("leaf").applyInPandas(inside, NEIGHBOUR), "local")
+    if not levels:
+        return _first_k_rows(local, k)
     reach = local.groupBy("qx", "qy").agg(F.sum("w").alias("have"), F.max("d").alias("r"))
-    radius = F.when(F.col("have") >= k, F.col("r")).otherwise(F.lit(float("inf")))
-    boxes = leafed.groupBy("strip", "leaf").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")
-    )
-    strips = boxes.groupBy("strip").agg(F.min("x0").alias("sx0"), F.max("x1").alias("sx1")).orderBy("strip").collect()
-    queries = leafed.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("strip").alias("home"), F.col("leaf").alias("home_leaf"))
-    queries = queries.join(reach.select("qx", "qy", radius.alias("r")), ["qx", "qy"], "left").withColumn(
-        "r", F.coalesce("r", F.lit(float("inf")))
-    )
-    spans = F.array(
-        *[
-            F.struct(F.lit(s["strip"]).alias("strip"), F.lit(float(s["sx0"])).alias("lo"), F.lit(float(s["sx1"])).alias("hi"))
-            for s in strips
-        ]
-    )
-    hit = F.filter(spans, lambda s: (s["lo"] <= F.col("qx") + F.col("r")) & (s["hi"] >= F.col("qx") - F.col("r")))
-    asked = queries.select("*", F.explode(F.transform(hit, lambda s: s["strip"])).alias("strip"))
-    # Leaves of a strip follow one another in y, so the circle meets a range of leaf numbers.
-    ranged = asked.join(marks, "strip").withColumns(
-        {
-            "_from": F.size(F.filter("marks", lambda e: e < F.col("qy") - F.col("r"))),
-            "_to": F.size(F.filter("marks", lambda e: e < F.col("qy") + F.col("r"))),
-        }
-    )
-    wide = ranged.drop("marks").withColumn("leaf", F.explode(F.sequence("_from", "_to"))).join(boxes, ["strip", "leaf"])
-    gap_x = F.greatest(F.lit(0.0), F.col("x0") - F.col("qx"), F.col("qx") - F.col("x1"))
-    gap_y = F.greatest(F.lit(0.0), F.col("y0") - F.col("qy"), F.col("qy") - F.col("y1"))
-    away = (F.col("strip") != F.col("home")) | (F.col("leaf") != F.col("home_leaf"))
-    crossing = wide.where(away & (gap_x * gap_x + gap_y * gap_y <= F.col("r") * F.col("r")))
-    crossing = settle(crossing.select("qx", "qy", "strip", "leaf"), "crossing")
-    sizes = crossing.groupBy("strip", "leaf").agg(F.count(F.lit(1)).alias("q"))
+    queries = leafed.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("leaf").alias("home"), "cap").join(reach, ["qx", "qy"], "left")
+    radius = F.when(F.col("have") >= k, F.least("r", "cap")).otherwise(F.col("cap"))
+    asked = queries.select("qx", "qy", "home", radius.alias("r"), F.lit("0").alias("parent"))
+    met = []
+    for cells in levels:
+        below = cells.groupBy("parent").agg(F.collect_list(F.struct("leaf", "closed", "x0", "x1", "y0", "y1")).alias("cells"))
+        gap_x = lambda c: F.greatest(F.lit(0.0), c["x0"] - F.col("qx"), F.col("qx") - c["x1"])
+        gap_y = lambda c: F.greatest(F.lit(0.0), c["y0"] - F.col("qy"), F.col("qy") - c["y1"])
+        # the slack keeps a place at exactly the radius, whose distance was rounded
+        near = F.filter("cells", lambda c: (c["leaf"] != F.col("home")) & (gap_x(c) * gap_x(c) + gap_y(c) * gap_y(c) <= F.col("r") * F.col("r") * (1 + 1e-12)))
+        found = asked.join(below, "parent").select("qx", "qy", "home", "r", F.explode(near).alias("c"))
+        found = settle(found.select("qx", "qy", "home", "r", F.col("c.leaf").alias("leaf"), F.col("c.closed").alias("closed")), "met")
+        met.append(found.where("closed").select("qx", "qy", "leaf"))
+        asked = found.where("NOT closed").select("qx", "qy", "home", "r", F.col("leaf").alias("parent"))
+    crossing = met[0]
+    for part in met[1:]:
+        crossing = crossing.unionByName(part)
+    sizes = crossing.groupBy("leaf").agg(F.count(F.lit(1)).alias("q"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("q") / F.lit(chunk_rows))).cast("int")
     sized = sizes.withColumn("chunks", chunks).drop("q")
-    asking = crossing.join(sized, ["strip", "leaf"]).withColumn("chunk", F.pmod(F.hash("qx", "qy"), F.col("chunks")))
-    asking = settle(asking.select("qx", "qy", "strip", "leaf", "chunk"), "asking")
-    offered = leafed.join(sized, ["strip", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asking = crossing.join(sized, "leaf").withColumn("chunk", F.pmod(F.hash("qx", "qy"), F.col("chunks")))
+    asking = settle(asking.select("qx", "qy", "leaf", "chunk"), "asking")
+    offered = leafed.join(sized, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def across(ask: pd.DataFrame, offer: pd.DataFrame) -> pd.DataFrame:
         rows = _nearest(
@@ -348,8 +366,8 @@ def nearest_places(places: DataFrame, k: int, leaf_rows: int = 512, chunk_rows:
         return pd.DataFrame(rows, columns=["qx", "qy", "x", "y", "w", "d"])
 
     foreign = (
-        asking.groupBy("strip", "leaf", "chunk")
-        .cogroup(offered.groupBy("strip", "leaf", "chunk"))
+        asking.groupBy("leaf", "chunk")
+        .cogroup(offered.groupBy("leaf", "chunk"))
         .applyInPandas(across, NEIGHBOUR)
     )
     return _first_k_rows(local.unionByName(foreign), k)

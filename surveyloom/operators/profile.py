@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyloom.functions.intervals import t_bounds, wilson
-from surveyloom.functions.numbers import blank_to_empty, level_key, number, rounded, safe_ratio, to_number
+from surveyloom.functions.numbers import LONG_LEVEL, blank_to_empty, level_key, number, rounded, safe_ratio, to_number
 from surveyloom.functions.text import is_blank, word_count
 from surveyloom.operators.ranks import exact_quantiles, top_per_group
 from surveyloom.operators.resample import Moments, bootstrap_metric
+from surveyloom.session import settle
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -109,29 +110,47 @@ def mean_interval(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def level_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, n) with blank values merged into null."""
-    cells = long_text(df, columns)
+    """(column, level, head, n) with blank values merged into null; long texts are counted by digest, ``head`` is how each level begins."""
     return (
-        cells.withColumn("value", F.when(~is_blank(F.col("value")), F.col("value")))
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        _filled(df, columns)
+        .groupBy("column", level_key(F.col("value")).alias("level"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.substring("value", 1, LONG_LEVEL)).alias("head"))
     )
 
 
+def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
+    return long_text(df, columns).withColumn("value", F.when(~is_blank(F.col("value")), F.col("value")))
+
+
+def _top_levels(df: DataFrame, columns: list[str], counts: DataFrame, k: int) -> DataFrame:
+    """(column, rank, value, n): the k most frequent levels of every column, ties by level.
+
+    Levels are chosen by count and beginning, all that tie there included. Only where long texts are among them are the rows read again, for the texts
+    of these alone; equal texts are merged in each task before they move.
+    """
+    place = F.rank().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc("head")))
+    chosen = settle(counts.where(F.col("level").isNotNull()).withColumn("_place", place).where(F.col("_place") <= k).drop("_place"), "levels")
+    long = chosen.where(F.length("level") > LONG_LEVEL).select("column", "level")
+    value = F.col("level")
+    if not long.isEmpty():
+        cells = _filled(df, columns).where(F.length("value") > LONG_LEVEL).withColumn("level", level_key(F.col("value")))
+        texts = cells.join(long, ["column", "level"], "left_semi").groupBy("column", "level").agg(F.first("value").alias("text"))
+        chosen, value = chosen.join(texts, ["column", "level"], "left"), F.coalesce("text", "level")
+    return top_per_group(chosen.select("column", value.alias("value"), "n"), ["column"], [F.desc("n"), F.asc("value")], k)
+
+
 def categorical_frequency(df: DataFrame, columns: list[str], max_levels: int = 25) -> DataFrame:
     """Most frequent levels of every column with proportion and Wilson interval; ties go by level."""
-    counts = level_counts(df, columns)
+    counts = settle(level_counts(df, columns), "counts")
     totals = counts.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-        F.count("value").alias("n_unique"),
-    )
-    top = top_per_group(
-        counts.where(F.col("value").isNotNull()), ["column"], [F.desc("n"), F.asc("value")], max_levels
+        F.coalesce(F.sum(F.when(F.col("level").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        F.count("level").alias("n_unique"),
     )
+    top = _top_levels(df, columns, counts, max_levels)
     low, high = wilson(F.col("n"), F.col("count"))
     return (
-        totals.join(F.broadcast(top), "column", "left")
+        totals.join(top, "column", "left")
         .select(
             "column",
             "count",

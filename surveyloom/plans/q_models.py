@@ -484,6 +484,22 @@ def _o7(spark, sf):
     return versions.lineage(turns, "id", "parent")
 
 
+@query(
+    "o7_ancestors_of_leaves",
+    """WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS parent FROM conversations),
+    up AS (SELECT n.id AS node, n.parent AS ancestor, 1 AS depth FROM n JOIN n p ON p.id = n.parent WHERE n.id NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL)
+    UNION ALL SELECT up.node, n.parent, depth + 1 FROM up JOIN n ON n.id = up.ancestor JOIN n p ON p.id = n.parent)
+    SELECT node, ancestor, depth FROM up""",
+)
+def _o7_leaves(spark, sf):
+    turns = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"),
+    )
+    leaves = turns.join(turns.select(F.col("parent").alias("id")), "id", "left_anti")
+    return versions.ancestors(turns, leaves, "id", "parent")
+
+
 @query(
     "o8_subset_dataset",
     "SELECT 'subset' AS tag, language, detail_level, count(*) AS n FROM survey WHERE language IN ('de', 'fr') GROUP BY ALL",

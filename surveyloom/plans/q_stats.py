@@ -722,6 +722,14 @@ def _g1(spark, sf):
     return association.pearson(survey(spark, sf), _PAIRS).unionByName(association.pearson(table(spark, sf, "lineitem"), _LPAIRS))
 
 
+@query(
+    "g1_pearson_matrix",
+    " UNION ALL ".join(sql_pearson(ITEMS[a], ITEMS[b], "survey") for a in range(9) for b in range(a + 1, 9)),
+)
+def _g1_matrix(spark, sf):
+    return association.pearson_matrix(survey(spark, sf), ITEMS)
+
+
 def sql_spearman(a: str, b: str, source: str) -> str:
     rows = f"(SELECT {a}::DOUBLE AS x, {b}::DOUBLE AS y FROM {source} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
     rank = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE)"

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,29 @@ def test_lof_matches_brute_force_across_leaves(spark):
     assert np.allclose(got["outlier_score"], _brute_lof(xy, 5), rtol=1e-6)
 
 
+@pytest.mark.parametrize("shape", ["equal_x", "equal_y", "cross", "spread"])
+def test_leaves_are_bounded_where_an_axis_repeats(spark, shape):
+    rng = np.random.default_rng(9)
+    a = rng.permutation(6000) / 7.0
+    x, y = {"equal_x": (a * 0, a), "equal_y": (a, a * 0), "cross": (np.where(a < 400, 0, a), np.where(a < 400, a, 0)), "spread": (a, np.exp(a % 30))}[shape]
+    places = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "w": 1})).withColumn("w", F.col("w").cast("bigint"))
+    leafed, levels = density._leaves(places, 64)
+    sizes = [r["count"] for r in leafed.groupBy("leaf").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 64 and len(sizes) < 6000 / 8 and len(levels) < 8
+
+
+@pytest.mark.parametrize("shape", ["line", "ties", "far"])
+def test_neighbours_equal_brute_force_on_awkward_shapes(spark, shape):
+    rng = np.random.default_rng(10)
+    xy = {
+        "line": np.stack([np.zeros(300), rng.permutation(300) / 3.0], 1),
+        "ties": np.stack(np.meshgrid(np.arange(18.0), np.arange(18.0)), -1).reshape(-1, 2),
+        "far": np.concatenate([rng.normal(0, 1, (200, 2)), np.stack([10.0 ** np.arange(1, 40), np.zeros(39)], 1)]),
+    }[shape]
+    got = density.local_outlier_factor(_points(spark, xy), "row_idx", 5, leaf_rows=16).orderBy("row_idx").toPandas()
+    assert np.allclose(got["outlier_score"], _brute_lof(xy, 5), rtol=1e-6)
+
+
 def test_isolation_forest_finds_the_far_point(spark):
     rng = np.random.default_rng(8)
     points = _points(spark, np.concatenate([rng.normal(0, 1, (400, 2)), [[12.0, 12.0]]]))
@@ -125,6 +149,17 @@ def test_lineage_is_cycle_safe(spark):
     assert got == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("x", "y", 1), ("y", "x", 1)}
 
 
+def test_ancestors_of_wanted_nodes_only(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "gone")], "id string, parent string")
+    wanted = nodes.where("id IN ('c', 'x', 'z')")
+    got = {(r["node"], r["ancestor"], r["depth"]) for r in versions.ancestors(nodes, wanted, "id", "parent").collect()}
+    assert got == {("c", "b", 1), ("c", "a", 2), ("x", "y", 1)}
+    assert versions.ancestors(nodes, nodes.limit(0), "id", "parent").count() == 0
+    chain = spark.range(5000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    far = versions.ancestors(chain, chain.where("id = 4999"), "id", "parent")
+    assert far.count() == 4999 and far.where("node - ancestor <> depth").isEmpty()
+
+
 def test_no_row_is_lost_without_neighbours_or_place(spark):
     rows = [(i, float(i % 5), float(i // 5)) for i in range(20)] + [(90, None, 1.0), (91, 2.0, float("nan"))]
     points = spark.createDataFrame(rows, "row_idx long, x double, y double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,39 @@ def test_permutation_keeps_the_multiset(spark):
     moved = sampling.permute_within(frame, "k", ["t"]).collect()
     assert sorted(r["t"] for r in moved) == sorted(f"t{i}" for i in range(500))
     assert sum(r["t"] != f"t{r['k']}" for r in moved) > 400
+
+
+def test_wide_correlations_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows, width = 400, 300
+    x = rng.normal(0, 1, (rows, 12)) @ rng.normal(0, 1, (12, width)) + rng.normal(0, 2, (rows, width)) + 1e6 * (np.arange(width) % 3)
+    x[rng.random((rows, width)) < 0.1] = np.nan
+    x[:, 5], x[:, 6] = 0.1, np.nan
+    x[3, 7] = np.inf
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=[f"v{i}" for i in range(width)]))
+    got = association.pearson_matrix(frame, frame.columns).toPandas()
+    assert len(got) == width * (width - 1) // 2
+    r, n = np.zeros((width, width)), np.zeros((width, width))
+    r[got["left"].str[1:].astype(int), got["right"].str[1:].astype(int)] = got["value"]
+    n[got["left"].str[1:].astype(int), got["right"].str[1:].astype(int)] = got["n"]
+    for i, j in [(a, b) for a in range(12) for b in range(a + 1, width, 7)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert n[i, j] == both.sum()
+        defined = not {i, j} & {5, 6} and np.isfinite(x[both][:, [i, j]]).all()
+        assert abs(r[i, j] - (np.corrcoef(x[both, i], x[both, j])[0, 1] if defined else 0.0)) < 1e-4
+    few = association.pearson_matrix(frame.limit(0), frame.columns[:10]).toPandas()
+    assert len(few) == 45 and set(few["value"]) == {0.0} and set(few["n"]) == {0}
+
+
+def test_long_levels_are_counted_by_digest_and_shown_whole(spark):
+    head = "a" * 80
+    texts = [head + "z"] * 3 + [head + "b"] * 3 + [head + "c"] * 3 + ["short"] * 3 + [head] * 2 + ["#" + "0" * 64, "", "  ", None] + [head + str(i) for i in range(50)]
+    frame = spark.createDataFrame([(t, "k") for t in texts], "v string, w string")
+    got = profile.categorical_frequency(frame, ["v", "w"], 4).where("column = 'v'").orderBy("rank").collect()
+    assert [r["level"] for r in got] == [head + "b", head + "c", head + "z", "short"] and {r["level_count"] for r in got} == {3}
+    assert (got[0]["count"], got[0]["missing"], got[0]["n_unique"]) == (65, 3, 56)
+    tied = profile.categorical_frequency(frame.where(F.col("v").startswith(head) & (F.length("v") > 81)), ["v"], 3).orderBy("rank").collect()
+    assert [r["level"] for r in tied] == sorted(head + str(i) for i in range(10, 50))[:3]
+    counts = profile.level_counts(frame, ["v"])
+    assert counts.agg(F.max(F.length("level")), F.max(F.length("head"))).first()[:] == (65, 64)
+    assert profile.categorical_frequency(frame.limit(0), ["v"]).count() == 0

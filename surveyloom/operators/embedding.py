@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import json
+import math
+import uuid
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -15,20 +21,35 @@ from pyspark.sql import functions as F
 
 from surveyloom.functions.numbers import rounded
 from surveyloom.operators import density
+from surveyloom.operators.classify import TextModel
 from surveyloom.operators.features import MAX_BROADCAST_TERMS, sparse_rows, tfidf, vocabulary, with_idf, word_terms
 from surveyloom.operators.schema import label_columns
+from surveyloom.operators.scoring import local_rows
+from surveyloom.operators.versions import fingerprint
 from surveyloom.session import packed, settle, side_by_side
+from surveyloom.sources import markers
 
-#: Extra directions and passes of the subspace iteration.
-EXTRA, PASSES = 8, 6
+#: Extra directions of the subspace iteration, its largest number of passes, and the residual at which it has converged.
+EXTRA, PASSES, TOLERANCE = 8, 60, 1e-4
 
 
-def project(rows: DataFrame, key: str, size: int, passes: int = PASSES) -> tuple[DataFrame, list[float]]:
-    """(key, x, y): centred coordinates on the first two principal components, and their shares of variance.
+class Projection(NamedTuple):
+    """Points (key, x, y), the components' shares of variance, and how far the iteration got."""
+
+    points: DataFrame
+    shares: list[float]
+    converged: bool
+    passes: int
+    residual: float
+
+
+def project(rows: DataFrame, key: str, size: int, passes: int = PASSES, tolerance: float = TOLERANCE) -> Projection:
+    """(key, x, y): centred coordinates on the first two principal components, their shares of variance, and whether they converged.
 
     ``rows`` holds sparse vectors of ``size`` numbers as ``indices`` and ``values``. Subspace iteration: a few random directions are multiplied by
-    the covariance again and again, each time as a sum over rows, so no matrix is wider than those directions, whatever the size. Each component
-    is turned so that its largest weight is positive.
+    the covariance again and again, each time as a sum over rows, so no matrix is wider than those directions, whatever the size. It ends when the
+    covariance turns neither component out of itself by more than ``tolerance`` of its variance, or after ``passes`` passes, which the result tells.
+    Each component is turned so that its largest weight is positive.
     """
     k = min(2, size)
     width = min(size, k + EXTRA)
@@ -41,13 +62,13 @@ def project(rows: DataFrame, key: str, size: int, passes: int = PASSES) -> tuple
     total = float(square.sum() - n * (mean * mean).sum())
     spark = rows.sparkSession
 
-    def passed(q: np.ndarray, small: bool) -> np.ndarray:
-        """Covariance times ``q`` (size x width), or with ``small`` what it is inside the span of ``q`` (width x width); not divided by n."""
+    def passed(q: np.ndarray) -> np.ndarray:
+        """Covariance times ``q`` (size x width), not divided by n."""
         shipped = spark.sparkContext.broadcast((q, mean @ q))
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q, shift = shipped.value
-            out = np.zeros((q.shape[1], q.shape[1]) if small else q.shape)
+            out = np.zeros(q.shape)
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -56,24 +77,30 @@ def project(rows: DataFrame, key: str, size: int, passes: int = PASSES) -> tuple
                 indices = np.concatenate(pdf["indices"].to_list()).astype(np.int64)
                 values = np.concatenate(pdf["values"].to_list())
                 seen = np.stack([np.bincount(row, q[indices, c] * values, len(pdf)) for c in range(q.shape[1])], axis=1) - shift
-                if small:
-                    out += seen.T @ seen
-                else:  # the mean's own part falls away, since centred coordinates add up to nothing
-                    for c in range(q.shape[1]):
-                        out[:, c] += np.bincount(indices, seen[row, c] * values, len(q))
+                # the mean's own part falls away, since centred coordinates add up to nothing
+                for c in range(q.shape[1]):
+                    out[:, c] += np.bincount(indices, seen[row, c] * values, len(q))
             yield pd.DataFrame({"g": [out.ravel()]})
 
         parts = data.mapInPandas(part, "g array<double>").select(array_to_vector("g").alias("g"), F.pmod(F.spark_partition_id(), F.lit(32)).alias("stage"))
         staged = parts.groupBy("stage").agg(Summarizer.sum(F.col("g")).alias("g"))
         found = staged.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"].toArray()
         shipped.destroy()
-        return found.reshape(q.shape[1], -1) if small else found.reshape(q.shape)
+        return found.reshape(q.shape)
 
     q = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0]
-    for _ in range(passes):
-        q = np.linalg.qr(passed(q, small=False))[0]
-    shares, turns = np.linalg.eigh(passed(q, small=True))
-    loadings = q @ turns[:, ::-1][:, :k]
+    done, residual = 0, math.inf
+    while True:
+        image, done = passed(q), done + 1
+        inner = q.T @ image
+        shares, turns = np.linalg.eigh((inner + inner.T) / 2.0)
+        shares, turns = shares[::-1][:k], turns[:, ::-1][:, :k]
+        loadings = q @ turns
+        left = np.linalg.norm(image @ turns - loadings * shares, axis=0)
+        residual = float(np.max(left / shares)) if shares.min() > 1e-12 * max(total, 1e-300) else float(np.max(left) / max(total, 1e-300))
+        if residual <= tolerance or done >= passes:
+            break
+        q = np.linalg.qr(image)[0]
     loadings *= np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)] >= 0, 1.0, -1.0)
     shift = mean @ loadings
     table = settle(spark.createDataFrame(pd.DataFrame({"idx": np.arange(size), "w": list(loadings.tolist())}), "idx int, w array<double>"), "loadings")
@@ -83,28 +110,66 @@ def project(rows: DataFrame, key: str, size: int, passes: int = PASSES) -> tuple
     axes = [(F.coalesce(f"_p{i}", F.lit(0.0)) - float(shift[i])).alias(c) for i, c in enumerate(["x", "y"][:k])]
     axes += [F.lit(0.0).alias("y")] * (2 - k)
     points = data.select(key).join(placed, key, "left").select(key, *axes)
-    return points, [float(v) / total if total > 0 else 0.0 for v in shares[::-1][:k]]
+    return Projection(points, [float(v) / total if total > 0 else 0.0 for v in shares], residual <= tolerance, done, residual)
 
 
-def project_texts(df: DataFrame, key: str, text: str, max_features: int = 512) -> tuple[DataFrame, list[float]]:
+def project_texts(df: DataFrame, key: str, text: str, max_features: int = 512) -> Projection:
     """Project documents by the TF-IDF (plain term counts) of the most frequent 1- and 2-grams."""
     terms = settle(word_terms(df, key, text), "terms")
     vocab = settle(with_idf(vocabulary(terms, key, max_features), df), "vocabulary")
     rows = sparse_rows(tfidf(terms, vocab, key, max_features, sublinear=False), df, key)
-    points, shares = project(rows, key, max(1, vocab.count()))
+    return _labelled(project(rows, key, max(1, vocab.count())), df, key)
+
+
+def _labelled(found: Projection, df: DataFrame, key: str) -> Projection:
+    """Points with the known labels of their rows, missing ones as empty text."""
     kept = label_columns(df)
-    return points.join(df.select(key, *kept).fillna("", subset=kept), key), shares
-
-
-def stored_points(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read points written earlier, or build and write them first."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as fault:  # Spark reports a missing path as an analysis error
-        if "PATH_NOT_FOUND" not in str(fault):
-            raise
-    build().write.parquet(path)
-    return spark.read.parquet(path)
+    return found._replace(points=found.points.join(df.select(key, *kept).fillna("", subset=kept), key))
+
+
+def project_by_model(model: TextModel, df: DataFrame, key: str) -> Projection:
+    """Project documents by the vectors a trained model sees: its own vocabulary and inverse document frequencies, all its terms.
+
+    A text without a known term is the zero vector. Where the model's table is small enough to broadcast the vectors are made inside their rows, else by joins.
+    """
+    table = model.table()
+    if table is not None:
+        rows = local_rows(df.select(key, model.text_column), model.text_column, model.family, table).select(key, "indices", "values")
+    else:
+        weights = tfidf(model.terms(df, key), model.weights.select("term", "idx", "idf"), key, model.max_features)
+        rows = sparse_rows(weights, df, key)
+    size = model.weights.agg(F.max("idx")).first()[0]
+    return _labelled(project(rows, key, 1 if size is None else size + 1), df, key)
+
+
+def model_id(model: TextModel) -> str:
+    """Identity of what a model does to a text: its terms, their numbers and inverse document frequencies, and the kind of its features."""
+    made = fingerprint(model.weights.select("term", "idx", "idf")).first()["snapshot_id"]
+    return f"{model.family}-{model.text_column}-{made}"
+
+
+def cached_points(spark: SparkSession, root: str, snapshot: str, model: str, parameters: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """Points of a snapshot under a model and parameters: read where they were written before, else built and written.
+
+    Points are written to a folder of their own and exist from the moment a marker names it, so a build that broke off is never read, and of two builds at
+    once the first to end counts for both.
+    """
+    marker = _points_of(root, snapshot) + "/" + hashlib.sha256(json.dumps([model, parameters], sort_keys=True).encode()).hexdigest() + ".json"
+    if not markers.exists(spark, marker):
+        path = f"{_points_of(root, snapshot)}/{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        if not markers.create_once(spark, marker, json.dumps({"path": path})):
+            markers.drop(spark, path)
+    return spark.read.parquet(spark.read.schema("path string").json(marker).first()["path"])
+
+
+def forget_points(spark: SparkSession, root: str, snapshot: str) -> None:
+    """Drop all points of a snapshot, whatever the model."""
+    markers.drop(spark, _points_of(root, snapshot))
+
+
+def _points_of(root: str, snapshot: str) -> str:
+    return f"{root.rstrip('/')}/points/n{quote(snapshot, safe='')}"
 
 
 def kmeans(points: DataFrame, k: int = 3, starts: int = 10, seed: int = 42) -> tuple[DataFrame, float]:

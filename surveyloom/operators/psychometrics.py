@@ -144,7 +144,7 @@ class FactorModel:
 def confirmatory_fit(m: Moments, factors: dict[str, list[str]], max_iter: int = 200) -> tuple[np.ndarray, dict[str, float]]:
     """Maximum-likelihood simple-structure model: first loading of each factor 1, factors correlated.
 
-    Fisher scoring with step halving on ln|Sigma| + tr(S Sigma^-1) - ln|S| - p.
+    Fisher scoring with step halving on ln|Sigma| + tr(S Sigma^-1) - ln|S| - p. A fit that has not converged within ``max_iter`` steps is an error.
     """
     items = [i for group in factors.values() for i in group]
     p, k = len(items), len(factors)
@@ -198,7 +198,7 @@ def confirmatory_fit(m: Moments, factors: dict[str, list[str]], max_iter: int =
     start = [1.0] * len(free)
     start += [variances[first[a]] * 0.5 if a == b else 0.0 for a, b in phi_pairs]
     theta = np.array(start + list(variances * 0.5))
-    value = discrepancy(theta)
+    value, converged = discrepancy(theta), False
     for _ in range(max_iter):
         loading, phi, psi = unpack(theta)
         inverse = np.linalg.inv(loading @ phi @ loading.T + np.diag(psi))
@@ -210,15 +210,16 @@ def confirmatory_fit(m: Moments, factors: dict[str, list[str]], max_iter: int =
         size = 1.0
         while size > 1e-8 and not discrepancy(theta - size * step) < value:
             size /= 2.0
-        if size <= 1e-8:
+        if size <= 1e-8:  # no shorter step helps: an optimum if the full one promised nothing
+            converged = float(gradient @ step) < 1e-8
             break
         theta = theta - size * step
         new = discrepancy(theta)
-        if value - new < 1e-12:
-            value = new
-            break
+        converged = value - new < 1e-12
         value = new
-    if not math.isfinite(value):
+        if converged:
+            break
+    if not (converged and math.isfinite(value)):
         raise ValueError("the factor model did not converge")
     loading, _, _ = unpack(theta)
     return loading, fit_indices(value, m, p, len(theta))
@@ -245,38 +246,47 @@ def fit_indices(discrepancy: float, m: Moments, p: int, n_free: int) -> dict[str
     }
 
 
-def _varimax(a: np.ndarray, max_iter: int = 500) -> np.ndarray:
-    """Varimax rotation of loadings with rows scaled to length one."""
+def _varimax(a: np.ndarray, max_iter: int = 500) -> tuple[np.ndarray, bool]:
+    """Varimax rotation of loadings with rows scaled to length one, and whether it converged.
+
+    Each plane of two factors is turned by its best angle, which has a closed form, until no plane turns any more.
+    """
     h = np.sqrt(np.sum(a * a, axis=1, keepdims=True))
     z = a / h
-    rotation, last = np.eye(a.shape[1]), 0.0
+    planes = [(i, j) for i in range(a.shape[1]) for j in range(i + 1, a.shape[1])]
     for _ in range(max_iter):
-        b = z @ rotation
-        u, d, vt = np.linalg.svd(z.T @ (b**3 - b * np.mean(b * b, axis=0)))
-        rotation = u @ vt
-        if d.sum() < last * (1 + 1e-9):
-            break
-        last = d.sum()
-    return (z @ rotation) * h
-
-
-def exploratory_fit(m: Moments, k: int, power: int = 4) -> tuple[np.ndarray, np.ndarray, dict[str, object]]:
-    """Minimum-residual factors of the correlation matrix with promax rotation: (loadings, score weights, summary)."""
+        largest = 0.0
+        for i, j in planes:
+            u, v = z[:, i] ** 2 - z[:, j] ** 2, 2.0 * z[:, i] * z[:, j]
+            up = 2.0 * (u @ v - u.sum() * v.sum() / len(z))
+            along = u @ u - v @ v - (u.sum() ** 2 - v.sum() ** 2) / len(z)
+            angle = float(np.arctan2(up, along)) / 4.0 if math.hypot(up, along) > 1e-14 else 0.0
+            turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+            z[:, [i, j]] = z[:, [i, j]] @ turn
+            largest = max(largest, abs(angle))
+        if largest < 1e-9:
+            return z * h, True
+    return z * h, False
+
+
+def exploratory_fit(m: Moments, k: int, power: int = 4, max_iter: int = 5000) -> tuple[np.ndarray, np.ndarray, dict[str, object]]:
+    """Minimum-residual factors of the correlation matrix with promax rotation: (loadings, score weights, summary). ``converged`` holds for both iterations."""
     r = m.corr
     shared = 1.0 - 1.0 / np.diag(np.linalg.inv(r))
-    for _ in range(5000):
+    settled = False
+    for _ in range(max_iter):
         reduced = r.copy()
         np.fill_diagonal(reduced, shared)
         values, vectors = np.linalg.eigh(reduced)
         top = np.argsort(values)[::-1][:k]
         a = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
         new = np.minimum(np.sum(a * a, axis=1), 0.995)
-        if np.max(np.abs(new - shared)) < 1e-10:
-            shared = new
-            break
+        settled = bool(np.max(np.abs(new - shared)) < 1e-10)
         shared = new
+        if settled:
+            break
     a = a * np.where(a.sum(axis=0) < 0, -1.0, 1.0)
-    x = _varimax(a)
+    x, turned = _varimax(a)
     target = x * np.abs(x) ** (power - 1)
     u = np.linalg.lstsq(x, target, rcond=None)[0]
     u = u @ np.diag(np.sqrt(np.diag(np.linalg.inv(u.T @ u))))
@@ -287,6 +297,7 @@ def exploratory_fit(m: Moments, k: int, power: int = 4) -> tuple[np.ndarray, np.
         "eigenvalues": sorted(np.linalg.eigvalsh(r).tolist(), reverse=True),
         "communalities": shared.tolist(),
         "variance_explained": (np.sum(loadings * loadings, axis=0) / len(r)).tolist(),
+        "converged": settled and turned,
     }
     return loadings, weights, summary
 

@@ -144,8 +144,10 @@ def _k9(spark, sf):
     return classify.compare_models(words, chars, test, "detail_level")
 
 
+VOCABULARY = classify.MAX_FEATURES["tfidf"]
+
 # A weight table from class-wise document counts, so that importance and explanations have exact counterparts.
-SQL_WEIGHTS = f"""{SQL_WORD_TERMS.format(k="survey_id", x="text_feedback", t="pred")}, {sql_tfidf(5000, "pred")},
+SQL_WEIGHTS = f"""{SQL_WORD_TERMS.format(k="survey_id", x="text_feedback", t="pred")}, {sql_tfidf(VOCABULARY, "pred")},
   cc AS (SELECT sentiment_class AS class, term, count(*) AS c FROM terms JOIN pred ON pred.survey_id = k JOIN voc USING (term) GROUP BY ALL),
   wt AS (SELECT c.class, v.term, ln((coalesce(cc.c, 0) + 1.0) / (v.df + 3.0)) AS weight FROM (SELECT DISTINCT sentiment_class AS class FROM pred) c CROSS JOIN voc v LEFT JOIN cc ON cc.class = c.class AND cc.term = v.term)"""
 
@@ -153,7 +155,7 @@ SQL_WEIGHTS = f"""{SQL_WORD_TERMS.format(k="survey_id", x="text_feedback", t="pr
 def _weights(spark, sf):
     docs = settle(predictions(spark, sf).select("survey_id", "text_feedback", "sentiment_class", "y_pred"), "docs")
     terms = settle(features.word_terms(spread(docs), "survey_id", "text_feedback"), "terms")
-    vocab = settle(features.with_idf(features.vocabulary(terms, "survey_id", 5000), docs), "vocabulary")
+    vocab = settle(features.with_idf(features.vocabulary(terms, "survey_id", VOCABULARY), docs), "vocabulary")
     counts = (
         terms.join(docs.select("survey_id", "sentiment_class"), "survey_id")
         .groupBy("term")
@@ -169,7 +171,7 @@ def _weights(spark, sf):
         ]
     )
     weights = vocab.join(counts, "term", "left").fillna(0).select("term", F.inline(cells))
-    return docs, features.tfidf(terms, vocab, "survey_id", 5000), settle(weights, "weights")
+    return docs, features.tfidf(terms, vocab, "survey_id", VOCABULARY), settle(weights, "weights")
 
 
 @query(
@@ -204,13 +206,7 @@ def _k11(spark, sf):
     SELECT survey_id, first(class ORDER BY x DESC, class) AS pred, {r("max(x) / sum(x)", 6)} AS conf FROM e GROUP BY survey_id""",
 )
 def _p1(spark, sf):
-    docs, _, weights = _weights(spark, sf)
-    classes = [c[0] for c in weights.select("class").distinct().orderBy("class").collect()]
-    terms = features.word_terms(spread(docs), "survey_id", "text_feedback")
-    vocab = features.with_idf(features.vocabulary(terms, "survey_id", 5000), docs)
-    by_term = weights.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "weight"))), lambda w: w["weight"]).alias("w"))
-    table_of = settle(vocab.join(by_term, "term"), "fixed-weights")
-    model = classify.TextModel("fixed", "sentiment", "tfidf", classes, table_of, [0.0] * len(classes), 5000, "text_feedback")
+    docs, model = _fixed_model(spark, sf)
     stage = estimator.TextClassifierModel(model).setParams(inputCol="text_feedback")
     path = scratch_path(spark, "pipeline")
     PipelineModel([stage]).write().save(path)
@@ -218,6 +214,18 @@ def _p1(spark, sf):
     return scored.select("survey_id", "pred", rounded(F.col("conf"), 6).alias("conf"))
 
 
+def _fixed_model(spark, sf):
+    """Documents, and a model whose weights are class-wise document counts."""
+    docs, _, weights = _weights(spark, sf)
+    classes = [c[0] for c in weights.select("class").distinct().orderBy("class").collect()]
+    terms = features.word_terms(spread(docs), "survey_id", "text_feedback")
+    vocab = features.with_idf(features.vocabulary(terms, "survey_id", VOCABULARY), docs)
+    by_term = weights.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "weight"))), lambda w: w["weight"]).alias("w"))
+    table_of = settle(vocab.join(by_term, "term"), "fixed-weights")
+    model = classify.TextModel("fixed", "sentiment", "tfidf", classes, table_of, [0.0] * len(classes), VOCABULARY, "text_feedback")
+    return docs, model
+
+
 def _fusion_parts(spark, sf):
     frame = _cleaned(spark, sf)
     scores = psychometrics.score_with_loadings(frame, "survey_id", ITEMS, list(FACTORS), LOADINGS)
@@ -308,15 +316,29 @@ SQL_PLANAR = "pts AS (SELECT vec_id AS row_idx, embedding[1]::DOUBLE * 10 AS x,
 @query("k18_text_projection")
 def _k18(spark, sf):
     docs = survey(spark, sf).select("survey_id", "text_feedback", *LABELS)
-    return embedding.project_texts(spread(docs), "survey_id", "text_feedback")[0]
+    return embedding.project_texts(spread(docs), "survey_id", "text_feedback").points
 
 
 @query("k18_vector_projection")
 def _k18b(spark, sf):
-    v = F.col("embedding").cast("array<double>")
-    rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64)
-    rows = rows.select("vec_id", F.sequence(F.lit(0), F.lit(63)).alias("indices"), v.alias("values"))
-    return embedding.project(rows, "vec_id", 64)[0]
+    v = F.coalesce(F.col("embedding").cast("array<double>"), F.array().cast("array<double>"))
+    rows = table(spark, sf, "embeddings").select("vec_id", v.alias("values"))
+    places = F.when(F.size("values") > 0, F.sequence(F.lit(0), F.size("values") - 1)).otherwise(F.array().cast("array<int>"))
+    size = rows.agg(F.max(F.size("values"))).first()[0] or 1
+    return embedding.project(rows.select("vec_id", places.alias("indices"), "values"), "vec_id", size).points
+
+
+@query("k18_model_projection")
+def _k18c(spark, sf):
+    docs, model = _fixed_model(spark, sf)
+    root, snapshot = scratch_path(spark, "points"), versions.fingerprint(docs).first()["snapshot_id"]
+    known = [root, snapshot, embedding.model_id(model), {"components": 2}]
+    embedding.cached_points(spark, *known, lambda: embedding.project_by_model(model, docs, "survey_id").points)
+
+    def again():
+        raise AssertionError("the points were written before")
+
+    return embedding.cached_points(spark, *known, again)
 
 
 @query("k19_kmeans")
@@ -579,7 +601,7 @@ def _r4b(spark, sf):
 @query("r5_embedding_analytics")
 def _r5(spark, sf):
     docs = spread(survey(spark, sf).select("survey_id", "text_feedback", *LABELS))
-    points, _ = embedding.project_texts(docs, "survey_id", "text_feedback")
+    points = embedding.project_texts(docs, "survey_id", "text_feedback").points
     return jobs.embedding_analytics(points.select("survey_id", "x", "y"), "survey_id", eps=0.02)
 
 

@@ -9,6 +9,7 @@ from surveyloom.functions.intervals import T_95, t_critical
 from surveyloom.functions.numbers import blank_to_empty, clip, rounded, softmax, to_number
 from surveyloom.operators import predicates as P
 from surveyloom.operators import schema as S
+from surveyloom.operators import sketches
 from surveyloom.operators.align import append_rows
 from surveyloom.operators.classify import pooled_vectors
 from surveyloom.operators.features import char_terms, word_terms
@@ -130,6 +131,29 @@ def _a3(spark, sf):
     return files.structure_counts(survey(spark, sf).select(*ITEMS, "sentiment_class"))
 
 
+_BROKEN = ["survey_id", "text_feedback", "language", "item_1"]
+_UNNAMED = [c for c in SURVEY_COLUMNS if c not in _BROKEN]
+
+
+@query(
+    "a3_broken_csv",
+    """WITH d AS (SELECT *, doc_id % 17 AS k, doc_id % 13 AS item FROM documents), good AS (SELECT * FROM d WHERE k NOT IN (3, 5)), filled AS (SELECT * FROM good WHERE k <> 7)
+    SELECT CAST(NULL AS VARCHAR) AS "column", 'rows' AS rule, count(*) AS n_bad FROM good UNION ALL SELECT NULL, 'empty', count(*) FROM good WHERE k = 7
+    UNION ALL SELECT NULL, 'malformed', count(*) FROM d WHERE k IN (3, 5) UNION ALL SELECT 'language', 'domain', count(*) FROM filled WHERE lang NOT IN ('en', 'fr')
+    UNION ALL SELECT 'item_1', 'range', count(*) FROM filled WHERE item > 10"""
+    + "".join(f" UNION ALL SELECT '{c}', 'missing', 1" for c in _UNNAMED),
+)
+def _a3b(spark, sf):
+    k, item = F.col("doc_id") % 17, (F.col("doc_id") % 13).cast("string")
+    text = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    fields = [F.col("doc_id").cast("string"), text, F.coalesce("lang", F.lit("")), item]
+    line = F.when(k == 3, F.concat_ws(",", *fields[:2])).when(k == 5, F.concat_ws(",", *fields, F.lit("more"))).when(k == 7, ",,,").otherwise(F.concat_ws(",", *fields))
+    path = scratch_path(spark, "broken-csv")
+    table(spark, sf, "documents").select(line.alias("line")).write.text(path)
+    marked = files.read_marked(spark, path, _BROKEN, header=False)
+    return files.write_checked(marked, scratch_path(spark, "checked"), domains={**files.DOMAINS, "language": ["en", "fr"]})
+
+
 @query(
     "a4_string_scan_null_policies",
     """WITH raw AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'NA' WHEN doc_id % 5 = 1 THEN '' WHEN doc_id % 5 = 2 THEN 'null' ELSE lang END AS a FROM documents)
@@ -171,6 +195,27 @@ def _a5(spark, sf):
     )
 
 
+@query(
+    "a5_merged_sketches",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_unique, """
+        + (
+            f"count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'CASE WHEN count({c}) > 1 THEN stddev_samp({c}) ELSE 0 END')} AS std, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max FROM survey"
+            if c in ITEMS
+            else "0 AS count, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS max FROM survey"
+        )
+        for c in [*ITEMS, *LABELS]
+    ),
+)
+def _a5b(spark, sf):
+    rows, columns = survey(spark, sf).select(*ITEMS, *LABELS), [*ITEMS, *LABELS]
+    english = F.coalesce(F.col("language") == "en", F.lit(False))
+    earlier = scratch_path(spark, "sketches")
+    sketches.store_sketches(sketches.sketch_columns(rows.where(english), columns), earlier)
+    grown = sketches.grown_profile(spark, earlier, rows.where(~english), columns, scratch_path(spark, "sketches"))
+    return sketches.sketched_profile(grown).drop("q25", "median", "q75")
+
+
 @query(
     "a6_snapshot_fingerprint",
     "WITH h AS (SELECT sha256(concat_ws(chr(31), "
@@ -310,6 +355,25 @@ def _b3(spark, sf):
     return done.select("survey_id", F.md5("text_feedback").alias("text_md5"), "language", "sentiment_class", "detail_level")
 
 
+@query(
+    "b3_inferred_roles",
+    " UNION ALL ".join(
+        f"""SELECT '{header}' AS "column", '{role}' AS role, count(*) FILTER (WHERE trim({c}) <> '') AS n_filled FROM survey"""
+        for header, role, c in [("  comment ", "text", "text_feedback"), ("Язык", "language", "language"), ("sentiment", "sentiment", "sentiment_class"), ("Length", "detail_level", "detail_level")]
+    ),
+)
+def _b3b(spark, sf):
+    frame = survey(spark, sf).select(
+        "survey_id",
+        F.col("text_feedback").alias("  comment "),
+        F.col("language").alias("Язык"),
+        F.col("sentiment_class").alias("sentiment"),
+        F.col("detail_level").alias("Length"),
+        "item_1",
+    )
+    return S.role_report(frame)
+
+
 @query(
     "b5_rename_columns",
     "SELECT survey_id AS id, language AS lang_code, 'lang_code' AS language_role, detail_level FROM survey",
@@ -644,12 +708,12 @@ def json_map(c):
 
 @query(
     "d22_softmax",
-    "WITH e AS (SELECT vec_id, unnest(range(0, 5)) AS i, list_transform(embedding[1:5], lambda x: 10 * CAST(x AS DOUBLE)) AS z FROM embeddings), "
+    "WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, list_transform(embedding, lambda x: 10 * CAST(x AS DOUBLE)) AS z FROM embeddings), "
     "p AS (SELECT vec_id, i, exp(z[i + 1] - list_max(z)) AS w FROM e) "
     f"SELECT vec_id, i AS class, {r('w / sum(w) OVER (PARTITION BY vec_id)', 6)} AS p FROM p",
 )
 def _d22(spark, sf):
-    z = F.transform(F.slice("embedding", 1, 5), lambda v: v.cast("double") * 10)
+    z = F.transform("embedding", lambda v: v.cast("double") * 10)
     rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(softmax(z)).alias("class", "p"))
     return rows.select("vec_id", F.col("class").cast("bigint").alias("class"), rounded(F.col("p"), 6).alias("p"))
 

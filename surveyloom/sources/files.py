@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyloom.functions.numbers import blank_to_empty
-from surveyloom.operators.schema import normalize_headers
+from surveyloom.operators.schema import missing_columns, normalize_headers
 from surveyloom.sources.tables import ITEMS, SURVEY_COLUMNS
 
 # The texts a CSV reader takes for missing when the default null policy is on.
@@ -135,6 +137,59 @@ def structure_counts(frame: DataFrame) -> DataFrame:
     )
 
 
+#: Name of the column that holds the raw record of an unreadable line.
+BAD_RECORD = "_bad_record"
+
+
+def read_marked(spark: SparkSession, path: str, columns: list[str], header: bool = True, keep_default_na: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV rows with every column as text, and ``BAD_RECORD``: the record itself where it has more or fewer fields than ``columns``, else null.
+
+    A bad record keeps the fields it has. With ``multi_line=False`` no quoted text may hold a line break, and a file is split over tasks; with it a file is one task.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, BAD_RECORD]])
+    own = {"header": str(header).lower(), "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD, "columnPruning": "false"}
+    frame = spark.read.schema(schema).options(**{**_CSV, **own}).csv(path)
+    cells = [F.col(f"`{c}`") for c in columns]
+    if keep_default_na:
+        cells = [F.when(~c.isin(NULL_TEXTS), c) for c in cells]
+    return frame.select(*[c.alias(name) for c, name in zip(cells, columns, strict=True)], BAD_RECORD)
+
+
+def write_checked(
+    frame: DataFrame,
+    path: str,
+    required: list[str] = SURVEY_COLUMNS,
+    domains: dict[str, list[str]] = DOMAINS,
+    item_range: tuple[int, int] = ITEM_RANGE,
+) -> DataFrame:
+    """Write the good rows of a table as parquet; return (column, rule, n_bad), counted by the pass that writes.
+
+    Rules: ``missing`` for each required column that is not there (1), ``range`` and ``domain`` by the values of good rows, and for the table (column null) ``rows`` written,
+    ``empty`` rows without any value, and ``malformed`` records, which are not written. A frame without ``BAD_RECORD`` has none. Nothing is shuffled after the
+    counts, so a task that runs again after a lost executor is counted once. Items must be numbers; text in an item's column breaks its range.
+    """
+    columns = [c for c in frame.columns if c != BAD_RECORD]
+    bad = F.col(BAD_RECORD).isNotNull() if BAD_RECORD in frame.columns else F.lit(False)
+    nothing = ~bad
+    for c in columns:
+        nothing = nothing & F.col(f"`{c}`").isNull()
+    tests: list[tuple[str | None, str, Column]] = [(None, "rows", ~bad), (None, "empty", nothing), (None, "malformed", bad)]
+    for c in required:
+        if c not in columns:
+            continue
+        if c in ITEMS:
+            number = F.col(c).try_cast("double")
+            tests.append((c, "range", ~bad & F.col(c).isNotNull() & ~F.coalesce(number.between(*item_range), F.lit(False))))
+        elif c in domains:
+            tests.append((c, "domain", ~bad & ~F.col(c).isin(domains[c])))
+    seen = Observation(f"checks-{uuid.uuid4().hex}")
+    observed = frame.observe(seen, *[F.count_if(test).alias(f"n{i}") for i, (_, _, test) in enumerate(tests)])
+    observed.where(~bad).select(*[F.col(f"`{c}`") for c in columns]).write.parquet(path)
+    rows = [(c, rule, seen.get[f"n{i}"]) for i, (c, rule, _) in enumerate(tests)]
+    rows += [(c, "missing", 1) for c in missing_columns(frame, required)]
+    return frame.sparkSession.createDataFrame(rows, "column string, rule string, n_bad bigint")
+
+
 def check_csv_header(spark: SparkSession, path: str) -> list[str]:
     """Header names as written; Spark renames repeated ones when it reads the table."""
     lines = spark.read.options(**{**_CSV, "header": "false"}).csv(path).limit(1).collect()

@@ -32,6 +32,9 @@ from surveyloom.sources import markers
 #: Extra directions of the subspace iteration, its largest number of passes, and the residual at which it has converged.
 EXTRA, PASSES, TOLERANCE = 8, 60, 1e-4
 
+#: Up to so many dimensions the covariance itself is summed in one pass (half a megabyte per task), and rows it is made of at a time.
+EXACT_SIZE, CHUNK = 256, 4096
+
 
 class Projection(NamedTuple):
     """Points (key, x, y), the components' shares of variance, and how far the iteration got."""
@@ -46,7 +49,8 @@ class Projection(NamedTuple):
 def project(rows: DataFrame, key: str, size: int, passes: int = PASSES, tolerance: float = TOLERANCE) -> Projection:
     """(key, x, y): centred coordinates on the first two principal components, their shares of variance, and whether they converged.
 
-    ``rows`` holds sparse vectors of ``size`` numbers as ``indices`` and ``values``. Subspace iteration: a few random directions are multiplied by
+    ``rows`` holds sparse vectors of ``size`` numbers as ``indices`` and ``values``. Up to ``EXACT_SIZE`` dimensions the covariance is summed in one pass
+    and its components are exact. Beyond that, subspace iteration: a few random directions are multiplied by
     the covariance again and again, each time as a sum over rows, so no matrix is wider than those directions, whatever the size. It ends when the
     covariance turns neither component out of itself by more than ``tolerance`` of its variance, or after ``passes`` passes, which the result tells.
     Each component is turned so that its largest weight is positive.
@@ -62,45 +66,66 @@ def project(rows: DataFrame, key: str, size: int, passes: int = PASSES, toleranc
     total = float(square.sum() - n * (mean * mean).sum())
     spark = rows.sparkSession
 
-    def passed(q: np.ndarray) -> np.ndarray:
-        """Covariance times ``q`` (size x width), not divided by n."""
-        shipped = spark.sparkContext.broadcast((q, mean @ q))
+    def summed(shape: tuple[int, int], add: Callable[[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray], None]) -> np.ndarray:
+        """Sum over all rows of what ``add`` puts into a matrix of that shape, given (row, indices, values, rows) of a batch."""
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q, shift = shipped.value
-            out = np.zeros(q.shape)
+            out = np.zeros(shape)
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                lengths = pdf["indices"].map(len).to_numpy()
-                row = np.repeat(np.arange(len(pdf)), lengths)
-                indices = np.concatenate(pdf["indices"].to_list()).astype(np.int64)
-                values = np.concatenate(pdf["values"].to_list())
-                seen = np.stack([np.bincount(row, q[indices, c] * values, len(pdf)) for c in range(q.shape[1])], axis=1) - shift
-                # the mean's own part falls away, since centred coordinates add up to nothing
-                for c in range(q.shape[1]):
-                    out[:, c] += np.bincount(indices, seen[row, c] * values, len(q))
+                if len(pdf):
+                    row = np.repeat(np.arange(len(pdf)), pdf["indices"].map(len).to_numpy())
+                    add(row, np.concatenate(pdf["indices"].to_list()).astype(np.int64), np.concatenate(pdf["values"].to_list()), len(pdf), out)
             yield pd.DataFrame({"g": [out.ravel()]})
 
         parts = data.mapInPandas(part, "g array<double>").select(array_to_vector("g").alias("g"), F.pmod(F.spark_partition_id(), F.lit(32)).alias("stage"))
         staged = parts.groupBy("stage").agg(Summarizer.sum(F.col("g")).alias("g"))
-        found = staged.agg(Summarizer.sum(F.col("g")).alias("g")).first()["g"].toArray()
+        found = staged.agg(Summarizer.sum(F.col("g")).alias("g")).first()
+        return found["g"].toArray().reshape(shape)
+
+    def covariance() -> np.ndarray:
+        def add(row, indices, values, count, out):
+            for low in range(0, count, CHUNK):
+                chosen = slice(*np.searchsorted(row, [low, low + CHUNK]))
+                block = np.zeros((min(CHUNK, count - low), size))
+                block[row[chosen] - low, indices[chosen]] = values[chosen]
+                block -= mean
+                out += block.T @ block
+
+        return summed((size, size), add)
+
+    def passed(q: np.ndarray) -> np.ndarray:
+        """Covariance times ``q`` (size x width), not divided by n."""
+        shipped = spark.sparkContext.broadcast((q, mean @ q))
+
+        def add(row, indices, values, count, out):
+            q, shift = shipped.value
+            seen = np.stack([np.bincount(row, q[indices, c] * values, count) for c in range(q.shape[1])], axis=1) - shift
+            # the mean's own part falls away, since centred coordinates add up to nothing
+            for c in range(q.shape[1]):
+                out[:, c] += np.bincount(indices, seen[row, c] * values, len(q))
+
+        found = summed(q.shape, add)
         shipped.destroy()
-        return found.reshape(q.shape)
-
-    q = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0]
-    done, residual = 0, math.inf
-    while True:
-        image, done = passed(q), done + 1
-        inner = q.T @ image
-        shares, turns = np.linalg.eigh((inner + inner.T) / 2.0)
-        shares, turns = shares[::-1][:k], turns[:, ::-1][:, :k]
-        loadings = q @ turns
-        left = np.linalg.norm(image @ turns - loadings * shares, axis=0)
-        residual = float(np.max(left / shares)) if shares.min() > 1e-12 * max(total, 1e-300) else float(np.max(left) / max(total, 1e-300))
-        if residual <= tolerance or done >= passes:
-            break
-        q = np.linalg.qr(image)[0]
+        return found
+
+    done, residual = 1, 0.0
+    if size <= EXACT_SIZE:
+        shares, turns = np.linalg.eigh(covariance())
+        shares, loadings = shares[::-1][:k], turns[:, ::-1][:, :k]
+    else:
+        q, done = np.linalg.qr(np.random.default_rng(0).standard_normal((size, width)))[0], 0
+        while True:
+            image, done = passed(q), done + 1
+            inner = q.T @ image
+            shares, turns = np.linalg.eigh((inner + inner.T) / 2.0)
+            shares, turns = shares[::-1][:k], turns[:, ::-1][:, :k]
+            loadings = q @ turns
+            left = np.linalg.norm(image @ turns - loadings * shares, axis=0)
+            # a component without variance is held against the whole
+            residual = float(np.max(left / np.where(shares > 1e-12 * total, shares, max(total, 1e-300))))
+            if residual <= tolerance or done >= passes:
+                break
+            q = np.linalg.qr(image)[0]
     loadings *= np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)] >= 0, 1.0, -1.0)
     shift = mean @ loadings
     table = settle(spark.createDataFrame(pd.DataFrame({"idx": np.arange(size), "w": list(loadings.tolist())}), "idx int, w array<double>"), "loadings")

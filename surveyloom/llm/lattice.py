@@ -1,17 +1,18 @@
 """Embedding near-duplicates by lattice hashing.
 
-Unit vectors are projected to eight dimensions, once per table, and decoded to the nearest point of the E8 lattice. A vector enters its own
-cell and probes the neighbouring cells it lies nearest to; two vectors meet where one's own cell is the other's own or probed one, and the
+Unit vectors are projected to two times eight dimensions, once per table, and each eight are decoded to the nearest point of the E8 lattice; the two points
+together are a cell. A vector enters its own cell and probes the neighbouring cells it lies nearest to; two vectors meet where one's own cell is the other's own or probed one, and the
 cosine of those that meet is computed in double precision. Equal vectors are merged before and counted as copies. Cells are found from keys alone;
 vectors travel only to cells that hold two. A crowded cell is cut into blocks by a hash of the id, and pairs of blocks are compared
 apart, so no cell is one task. A pair that meets in several cells counts in the first only, so links are sums, and each comparison returns
 at most one row per vector, not pairs.
 
-Two vectors of 64 dimensions at a cosine of 0.951 meet somewhere with a probability of 0.999, closer ones nearly always (measured in
-``tests/llm``); two unrelated ones share a cell of a table once in about 100,000. Pairs below the threshold are never reported.
+Two vectors of 64 dimensions at a cosine of 0.951 meet somewhere with a probability of 0.999, closer ones nearly always; two unrelated ones meet
+anywhere once in 24,000 (both measured in ``tests/llm``). Pairs below the threshold are never reported. Candidates still grow with the rows, at that rate;
+for far more of them ``points=3, tables=40, scale=0.6`` has the same recall, once in 660,000 and 200 entries a vector instead of 90.
 
 Defined results: a vector that is null, zero, or holds a null, NaN or infinite component links with nothing; so do rows without an id; vectors of
-different length never meet; repeated rows are copies and link with each other; an empty table gives an empty result; other columns are not read.
+different length never meet; repeated rows are copies and link with each other (ids are keys: of different vectors under one id one is compared); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from surveyloom.llm.common import components, labels_of_graph
 from surveyloom.session import settle
 
-TABLES = 12
-PROBES = 6
-SCALE = 1.2
+#: Lattice points of a cell, tables, probed cells per table, and length that unit vectors get before they are projected.
+POINTS = 2
+TABLES = 18
+PROBES = 4
+SCALE = 0.7
 #: Rows of a cell that are compared in one go.
 BLOCK = 512
 
@@ -65,31 +68,46 @@ def nearest_point(y: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def projections(dimensions: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dimensions]).standard_normal((tables, 8, dimensions))
+def projections(dimensions: int, tables: int, points: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dimensions]).standard_normal((tables, points, 8, dimensions))
 
 
 def _key(points: np.ndarray, table: int, dimensions: int) -> np.ndarray:
     """64 bits of lattice points (last axis), table and vector length."""
     whole = np.rint(points * 2).astype(np.int64).astype(np.uint64)
     h = np.full(whole.shape[:-1], (table + 1) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64) ^ np.uint64(dimensions)
-    for k in range(8):
+    for k in range(whole.shape[-1]):
         h = (h ^ whole[..., k]) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Own cells (n x tables) and probed cells (n x tables x probes) of unit vectors."""
+def cells(
+    x: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, points: int = POINTS, seed: int = 5
+) -> tuple[np.ndarray, np.ndarray]:
+    """Own cells (n x tables) and probed cells (n x tables x probes) of unit vectors.
+
+    A step to a neighbouring point costs the square distance that it adds; the probed cells are those with the cheapest steps of one or more points.
+    """
     n, dimensions = x.shape
     own, near = np.empty((n, tables), np.int64), np.empty((n, tables, probes), np.int64)
-    for t, r in enumerate(projections(dimensions, tables, seed)):
-        y = (x @ r.T) * scale
-        p = nearest_point(y)
-        towards = (y - p) @ roots().T
-        best = np.argpartition(-towards, probes, axis=1)[:, :probes] if probes else np.empty((n, 0), int)
-        own[:, t] = _key(p, t, dimensions)
-        near[:, t] = _key(p[:, None, :] + roots()[best], t, dimensions)
+    for t, blocks in enumerate(projections(dimensions, tables, points, seed)):
+        cost, place = np.zeros((n, 1)), np.empty((n, 1, 0))
+        for r in blocks:
+            y = (x @ r.T) * scale
+            p = nearest_point(y)
+            steps = 2.0 - 2.0 * ((y - p) @ roots().T)
+            best = np.argpartition(steps, probes, axis=1)[:, :probes] if probes else np.empty((n, 0), int)
+            reached = np.concatenate([p[:, None, :], p[:, None, :] + roots()[best]], axis=1)
+            added = np.concatenate([np.zeros((n, 1)), np.take_along_axis(steps, best, axis=1)], axis=1)
+            total = (cost[:, :, None] + added[:, None, :]).reshape(n, -1)
+            kept = np.argsort(total[:, 1:], axis=1)[:, :probes] + 1  # place 0 is the cell without a step
+            kept = np.concatenate([np.zeros((n, 1), int), kept], axis=1)
+            before, after = np.divmod(kept, probes + 1)
+            place = np.concatenate([np.take_along_axis(place, before[..., None], 1), np.take_along_axis(reached, after[..., None], 1)], axis=2)
+            cost = np.take_along_axis(total, kept, axis=1)
+        keys = _key(place, t, dimensions)
+        own[:, t], near[:, t] = keys[:, 0], keys[:, 1:]
     return own, near
 
 
@@ -112,7 +130,9 @@ def _by_length(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, units([vectors[i] for i in at])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, threshold: float = 0.95, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, points: int = POINTS, block: int = BLOCK
+) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -132,7 +152,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = T
             ids, held = batch.column("id").to_numpy(zero_copy_only=False), batch.column("x").to_pylist()
             for at, unit in _by_length(held):
                 for part in range(0, len(at), 4096):
-                    own, near = cells(unit[part : part + 4096], tables, probes, scale)
+                    own, near = cells(unit[part : part + 4096], tables, probes, scale, points)
                     key = np.concatenate([own[:, :, None], near], axis=2)
                     n = len(key)
                     place = np.broadcast_to(np.arange(probes + 1) == 0, key.shape)
@@ -153,7 +173,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = T
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["cell", "t", "i", "j"]):
-            found = _links(group, threshold, tables, probes, scale)
+            found = _links(group, threshold, tables, probes, scale, points)
             if found is not None:
                 yield pa.RecordBatch.from_pydict(dict(zip(("id", "links", "root"), found, strict=True)))
 
@@ -187,7 +207,7 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _links(group: pa.Table, threshold: float, tables: int, probes: int, scale: float) -> tuple | None:
+def _links(group: pa.Table, threshold: float, tables: int, probes: int, scale: float, points: int) -> tuple | None:
     if group.num_rows < 2:
         return None
     own = group["own"].to_numpy(zero_copy_only=False).astype(bool)
@@ -202,12 +222,14 @@ def _links(group: pa.Table, threshold: float, tables: int, probes: int, scale: f
     a, b = np.nonzero(hit)
     if not len(a):
         return None
-    home, near = cells(x, tables, probes, scale)
+    linked, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    home, near = cells(x[linked], t + 1, probes, scale, points)
+    at_a, at_b = places.reshape(2, -1)
     counted = np.ones(len(a), bool)
     for earlier in range(t + 1):
-        ha, hb = home[a, earlier], home[b, earlier]
-        b_probed = (near[a, earlier] == hb[:, None]).any(axis=1)
-        a_probed = (near[b, earlier] == ha[:, None]).any(axis=1)
+        ha, hb = home[at_a, earlier], home[at_b, earlier]
+        b_probed = (near[at_a, earlier] == hb[:, None]).any(axis=1)
+        a_probed = (near[at_b, earlier] == ha[:, None]).any(axis=1)
         if earlier < t:
             counted &= ~((ha == hb) | b_probed | a_probed)
         else:  # ids are in order: the first of the meeting places in this table

@@ -336,9 +336,41 @@ def test_recall_near_the_threshold():
     other -= (other * a).sum(axis=1, keepdims=True) * a
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     b = 0.951 * a + np.sqrt(1 - 0.951**2) * other
-    (own_a, near_a), (own_b, near_b) = lattice.cells(a), lattice.cells(b)
-    met = (own_a == own_b) | (near_a == own_b[:, :, None]).any(axis=2) | (near_b == own_a[:, :, None]).any(axis=2)
-    assert met.any(axis=1).mean() > 0.99
+    for more in ({}, {"points": 3, "tables": 40, "scale": 0.6}):
+        (own_a, near_a), (own_b, near_b) = lattice.cells(a, **more), lattice.cells(b, **more)
+        met = (own_a == own_b) | (near_a == own_b[:, :, None]).any(axis=2) | (near_b == own_a[:, :, None]).any(axis=2)
+        assert met.any(axis=1).mean() > 0.998
+
+
+def test_unrelated_vectors_seldom_meet():
+    import numpy as np
+
+    for rows in (2000, 8000, 32000):
+        own, near = lattice.cells(lattice.units(np.random.default_rng(rows).normal(size=(rows, 64)).tolist()))
+        met = 0
+        for t in range(own.shape[1]):
+            keys, sizes = np.unique(own[:, t], return_counts=True)
+            met += int((sizes * (sizes - 1) // 2).sum())
+            at = np.minimum(np.searchsorted(keys, near[:, t].ravel()), len(keys) - 1)
+            met += int(sizes[at][keys[at] == near[:, t].ravel()].sum())
+        assert met / rows < 1.5  # candidates per vector; 31 at 32,000 rows with one point of eight projections
+
+
+def test_a_step_less_is_nearer():
+    """The probed cells are the ones with the least added distance among all single steps and pairs of steps."""
+    import numpy as np
+
+    x = lattice.units(np.random.default_rng(4).normal(size=(50, 24)).tolist())
+    own, near = lattice.cells(x, tables=1, probes=5)
+    blocks = lattice.projections(24, 1, 2, 5)[0]
+    moves = np.vstack([np.zeros(8), lattice.roots()])
+    for i, row in enumerate(x):
+        y = [(r @ row) * lattice.SCALE for r in blocks]
+        reached = [lattice.nearest_point(v[None])[0] + moves for v in y]
+        far = [((v - p) ** 2).sum(axis=1) for v, p in zip(y, reached, strict=True)]
+        first = np.argsort((far[0][:, None] + far[1][None, :]).ravel())[:6]
+        keys = [int(lattice._key(np.concatenate([reached[0][f // 241], reached[1][f % 241]])[None], 0, 24)[0]) for f in first]
+        assert keys[0] == own[i, 0] and set(keys[1:]) == set(near[i, 0].tolist())
 
 
 def test_transcripts(spark):

@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ POINTS = 2
 TABLES = 18
 PROBES = 4
 SCALE = 0.7
-#: Rows of a cell that are compared in one go.
+#: Rows of a cell that are compared in one go; rows and pairs that link, from which their cells are computed together.
 BLOCK = 512
+HELD_ROWS, HELD_PAIRS = 4096, 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -169,13 +171,21 @@ def near_duplicates(
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     live = live.select("cell", "t", "own", "id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     met = live.join(reps, "id")
-    met = met.repartition("cell", "t", "i", "j").sortWithinPartitions("cell", "t", "i", "j", "id")
+    met = met.repartition("cell", "t", "i", "j").sortWithinPartitions("t", "cell", "i", "j", "id")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Hits] = []
+        rows = pairs = 0
         for group in _groups(batches, ["cell", "t", "i", "j"]):
-            found = _links(group, threshold, tables, probes, scale, points)
-            if found is not None:
-                yield pa.RecordBatch.from_pydict(dict(zip(("id", "links", "root"), found, strict=True)))
+            hits = _hits(group, threshold)
+            if hits is None:
+                continue
+            held.append(hits)
+            rows, pairs = rows + len(hits.ids), pairs + len(hits.a)
+            if rows >= HELD_ROWS or pairs >= HELD_PAIRS:
+                yield from _links(held, tables, probes, scale, points)
+                held, rows, pairs = [], 0, 0
+        yield from _links(held, tables, probes, scale, points)
 
     linked = settle(met.mapInArrow(compare, "id long, links long, root long"), "links")
     n_links = linked.groupBy("id").agg(F.sum("links").alias("links"))
@@ -207,7 +217,20 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _links(group: pa.Table, threshold: float, tables: int, probes: int, scale: float, points: int) -> tuple | None:
+class Hits(NamedTuple):
+    """The rows of a group that link, the pairs of them, and the smallest id each reaches inside the group."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    copies: np.ndarray
+    root: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    t: int
+    cell: int
+
+
+def _hits(group: pa.Table, threshold: float) -> Hits | None:
     if group.num_rows < 2:
         return None
     own = group["own"].to_numpy(zero_copy_only=False).astype(bool)
@@ -223,18 +246,29 @@ def _links(group: pa.Table, threshold: float, tables: int, probes: int, scale: f
     if not len(a):
         return None
     linked, places = np.unique(np.concatenate([a, b]), return_inverse=True)
-    home, near = cells(x[linked], t + 1, probes, scale, points)
-    at_a, at_b = places.reshape(2, -1)
-    counted = np.ones(len(a), bool)
-    for earlier in range(t + 1):
-        ha, hb = home[at_a, earlier], home[at_b, earlier]
-        b_probed = (near[at_a, earlier] == hb[:, None]).any(axis=1)
-        a_probed = (near[at_b, earlier] == ha[:, None]).any(axis=1)
-        if earlier < t:
-            counted &= ~((ha == hb) | b_probed | a_probed)
-        else:  # ids are in order: the first of the meeting places in this table
-            counted &= np.where((ha == hb) | ~b_probed, ha, hb) == cell
-    links = np.bincount(a[counted], copies[b[counted]], len(ids)) + np.bincount(b[counted], copies[a[counted]], len(ids))
-    root = labels_of_graph(len(ids), a, b)
-    show = (links > 0) | (root != np.arange(len(ids)))
-    return ids[show], np.rint(links[show]).astype(np.int64), ids[root[show]]
+    a, b = places.reshape(2, -1)
+    root = labels_of_graph(len(linked), a, b)
+    return Hits(x[linked], ids[linked], copies[linked], ids[linked][root], a, b, t, cell)
+
+
+def _links(held: list[Hits], tables: int, probes: int, scale: float, points: int) -> Iterator[pa.RecordBatch]:
+    """id, links and root of the rows of many groups. Their cells are computed together; a pair counts where it meets first."""
+    for width in sorted({h.x.shape[1] for h in held}):
+        some = [h for h in held if h.x.shape[1] == width]
+        offset = np.cumsum([0, *[len(h.ids) for h in some]])
+        a, b = (np.concatenate([pair + o for pair, o in zip(side, offset, strict=False)]) for side in ([h.a for h in some], [h.b for h in some]))
+        sizes = [len(h.a) for h in some]
+        t, cell = np.repeat([h.t for h in some], sizes), np.repeat(np.array([h.cell for h in some], np.int64), sizes)
+        home, near = cells(np.concatenate([h.x for h in some]), min(tables, int(t.max()) + 1), probes, scale, points)
+        counted = np.ones(len(a), bool)
+        for table in range(home.shape[1]):
+            ha, hb = home[a, table], home[b, table]
+            b_probed = (near[a, table] == hb[:, None]).any(axis=1)
+            a_probed = (near[b, table] == ha[:, None]).any(axis=1)
+            counted &= ~((table < t) & ((ha == hb) | b_probed | a_probed))
+            # ids are in order: the first of the meeting places in this table
+            counted &= (table != t) | (np.where((ha == hb) | ~b_probed, ha, hb) == cell)
+        ids, copies, root = (np.concatenate([getattr(h, name) for h in some]) for name in ("ids", "copies", "root"))
+        links = np.bincount(a[counted], copies[b[counted]], len(ids)) + np.bincount(b[counted], copies[a[counted]], len(ids))
+        show = (links > 0) | (root != ids)
+        yield pa.RecordBatch.from_pydict({"id": ids[show], "links": np.rint(links[show]).astype(np.int64), "root": root[show]})

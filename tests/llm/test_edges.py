@@ -301,7 +301,7 @@ def test_document_frequencies_count_a_text_once(spark):
     assert weights.max() <= weighted_minhash.RARE * (1 + 1e-6) and weights.min() >= 1
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -312,7 +312,8 @@ def test_embeddings(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("cell", "t", "own", "id", "x", "digest")})
     want = brute.links([r for r in rows if r[0] not in (308,)])
     want[308] = (0, 308)
-    for block in (512, 16):
+    for block, held in ((512, 4096), (16, 8)):
+        monkeypatch.setattr(lattice, "HELD_ROWS", held)
         got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(frame, block=block).collect()}
         assert got == want
     assert lattice.near_duplicates(frame.where("false")).count() == 0

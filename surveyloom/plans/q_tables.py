@@ -12,7 +12,7 @@ from surveyloom.operators import schema as S
 from surveyloom.operators import sketches
 from surveyloom.operators.align import append_rows
 from surveyloom.operators.classify import pooled_vectors
-from surveyloom.operators.features import char_terms, word_terms
+from surveyloom.operators.features import term_bags, word_terms
 from surveyloom.operators.profile import column_profile, segment_stats
 from surveyloom.operators.sampling import stratified_split
 from surveyloom.operators.versions import commit, fingerprint, read_standardized
@@ -624,7 +624,7 @@ SQL_WORD_TERMS = f"""tok AS (SELECT {{k}} AS k, regexp_extract_all(lower({{x}}),
     SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS documents FROM terms GROUP BY term""",
 )
 def _d16(spark, sf):
-    terms = word_terms(table(spark, sf, "documents"), "doc_id", "text")
+    terms = word_terms(T.spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return terms.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("documents"))
 
 
@@ -641,12 +641,13 @@ SQL_CHAR_TERMS = f"""cw AS (SELECT {{k}} AS k, unnest(regexp_extract_all(lower({
     SELECT k AS doc_id, count(*) AS distinct_terms, CAST(sum(tf) AS BIGINT) AS total, min(term) AS first_term, max(tf) AS most FROM terms GROUP BY k""",
 )
 def _d17(spark, sf):
-    terms = char_terms(table(spark, sf, "documents"), "doc_id", "text")
-    return terms.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("distinct_terms"),
-        F.sum("tf").alias("total"),
-        F.min("term").alias("first_term"),
-        F.max("tf").alias("most"),
+    bags = term_bags(T.spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", "char_ngram")
+    return bags.select(
+        "doc_id",
+        F.size("terms").cast("bigint").alias("distinct_terms"),
+        F.aggregate("terms.tf", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("total"),
+        F.array_min("terms.term").alias("first_term"),
+        F.array_max("terms.tf").alias("most"),
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from surveyloom.functions.numbers import rounded
 from surveyloom.operators import density
 from surveyloom.operators.classify import TextModel
-from surveyloom.operators.features import MAX_BROADCAST_TERMS, sparse_rows, tfidf, vocabulary, with_idf, word_terms
+from surveyloom.operators.features import MAX_BROADCAST_TERMS, sparse_rows, sparse_texts, tfidf, vocabulary, with_idf, word_terms
 from surveyloom.operators.schema import label_columns
 from surveyloom.operators.scoring import local_rows
 from surveyloom.operators.versions import fingerprint
@@ -140,9 +140,8 @@ def project(rows: DataFrame, key: str, size: int, passes: int = PASSES, toleranc
 
 def project_texts(df: DataFrame, key: str, text: str, max_features: int = 512) -> Projection:
     """Project documents by the TF-IDF (plain term counts) of the most frequent 1- and 2-grams."""
-    terms = settle(word_terms(df, key, text), "terms")
-    vocab = settle(with_idf(vocabulary(terms, key, max_features), df), "vocabulary")
-    rows = sparse_rows(tfidf(terms, vocab, key, max_features, sublinear=False), df, key)
+    vocab = settle(with_idf(vocabulary(word_terms(df, key, text), key, max_features), df), "vocabulary")
+    rows = sparse_texts(df, key, text, "tfidf", vocab, max_features, sublinear=False)
     return _labelled(project(rows, key, max(1, vocab.count())), df, key)
 
 

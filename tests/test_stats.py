@@ -170,3 +170,15 @@ def test_long_levels_are_counted_by_digest_and_shown_whole(spark):
     counts = profile.level_counts(frame, ["v"])
     assert counts.agg(F.max(F.length("level")), F.max(F.length("head"))).first()[:] == (65, 64)
     assert profile.categorical_frequency(frame.limit(0), ["v"]).count() == 0
+
+
+def test_spearman_reads_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(float(i % 7), float((i * i) % 5), None if i % 9 == 0 else float(i % 3)) for i in range(200)], "a double, b double, c double").write.parquet(path)
+    frame = spark.read.parquet(path)
+    found = association.spearman(frame, [("a", "b"), ("a", "c"), ("b", "b")])
+    assert all(path not in f for f in found.inputFiles())
+    pdf = frame.toPandas()
+    for r in found.collect():
+        both = pdf[[r["left"], r["right"]]].dropna() if r["left"] != r["right"] else pdf[["b"]].assign(again=pdf["b"]).dropna()
+        assert r["n"] == len(both) and abs(r["value"] - both.iloc[:, 0].rank().corr(both.iloc[:, 1].rank())) < 1e-4

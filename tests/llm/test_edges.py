@@ -400,3 +400,18 @@ def test_transcripts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(chat, "PIECE_TURNS", 4)
     monkeypatch.setattr(chat, "FAN", 4)
     assert key(chat.recover(chat.conversation_lines(frame).drop("role"), model)) == whole
+
+
+def test_shingles_of_one_go_take_little_memory():
+    import tracemalloc
+
+    from surveyloom.llm import weighted_minhash
+    from surveyloom.llm.shingles import shingles
+
+    shingles(["warm up"])
+    text = " ".join(f"w{i % 9973}" for i in range(weighted_minhash.CHARACTERS // 6))
+    tracemalloc.start()
+    shingles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

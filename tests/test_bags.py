@@ -62,3 +62,13 @@ def test_shared_and_missing_keys_are_merged(spark):
     rows = features.sparse_texts(docs, "k", "t", "tfidf", vocab, 100).collect()
     plain = features.sparse_rows(features.tfidf(features.word_terms(docs, "k", "t"), vocab, "k", 100), docs, "k").collect()
     assert sorted(str((r["k"], r["indices"])) for r in rows) == sorted(str((r["k"], r["indices"])) for r in plain)
+
+
+def test_grams_of_words_are_numbered_together():
+    words = ["ab", "b", "\U0001f600b", "abab"]
+    for low, high in ((1, 3), (2, 5), (4, 4)):
+        terms, places, count = cells._grams(words, low, high)
+        assert len(set(terms.to_pylist())) == len(terms) and count.sum() == len(places)
+        for word, own in zip(words, np.split(places, np.cumsum(count)[:-1]), strict=True):
+            assert Counter(terms.take(pa.array(own)).to_pylist()) == char_counts(word, low, high)
+    assert [len(x) for x in cells._grams([], 2, 5)] == [0, 0, 0]

@@ -179,3 +179,13 @@ def test_no_row_is_lost_without_neighbours_or_place(spark):
         table, counts = embedding.cluster_table(points, "row_idx", method, k=3, eps=1.1, min_samples=3)
         assert table.count() == 22 and counts.agg(F.sum("n")).first()[0] == 22 and table.where("row_idx >= 90 and cluster = -1").count() == 2
     assert embedding.cluster_table(points.where("row_idx > 90"), "row_idx")[1].first()["cluster"] == -1
+
+
+def test_small_training_tables_have_a_task_per_core(spark):
+    from surveyloom.session import packed
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 100, 1, 64)
+    assert packed(rows, 100).rdd.getNumPartitions() == 1
+    assert packed(rows, 19_000).rdd.getNumPartitions() == min(cores, 10)
+    assert packed(rows, 1_000_000).rdd.getNumPartitions() == max(50, min(cores, 64))

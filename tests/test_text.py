@@ -63,3 +63,10 @@ def test_tokens_and_ngrams(spark):
 
 def test_numbers(spark):
     assert [one(spark, v, to_number) for v in (" 7 ", "x", "NaN", "", None, "1e3")] == [7.0, None, None, None, None, 1000.0]
+
+
+def test_spelled_out_classes_are_complements(spark):
+    chars = spark.createDataFrame([(chr(i),) for i in [*range(0x3100), 0xD7FF, 0xE000, 0xFEFF, 0xFFFF, 0x10000, 0x10FFFF]], "c string")
+    assert chars.where(F.col("c").rlike(f"^[{T.NOT_BLANK}]") == F.col("c").rlike(f"^[{T.BLANK}]")).count() == 0
+    stays = r"^[^\x{0}-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{2010}-\x{2027}]"
+    assert "^" not in T._NFC_MAY_CHANGE and chars.where(F.col("c").rlike(stays) != F.col("c").rlike(f"^{T._NFC_MAY_CHANGE}")).count() == 0

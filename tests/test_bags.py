@@ -72,3 +72,21 @@ def test_grams_of_words_are_numbered_together():
         for word, own in zip(words, np.split(places, np.cumsum(count)[:-1]), strict=True):
             assert Counter(terms.take(pa.array(own)).to_pylist()) == char_counts(word, low, high)
     assert [len(x) for x in cells._grams([], 2, 5)] == [0, 0, 0]
+
+
+def test_tokens_of_texts_are_those_of_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    from surveyloom.functions.ngrams import word_tokens
+
+    odd = ["", None, "--A-b-- 'c'   (d)...e ... _x_ \U0001d7d8\U0001f600", "İ ² ࡰࡱ \U000323af กิ Straße\u001fx"]
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, *odd])), "k bigint, t string")
+    want = Counter()
+    for r in docs.select(word_tokens(F.coalesce("t", F.lit(""))).alias("words")).collect():
+        want += word_counts(r["words"], 1, 2)
+    from surveyloom.operators.scoring import counted_terms
+
+    found = counted_terms(docs, "t", "tfidf")
+    assert {r["term"]: r["total"] for r in found.collect()} == dict(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan  # a token is cut out of each distinct word, not out of every text

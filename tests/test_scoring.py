@@ -93,3 +93,24 @@ def test_pipeline_fits_saves_and_loads(cleaned, tmp_path):
     assert model.copy().transform(cleaned).count() == cleaned.count()
     with pytest.raises(ValueError, match="exist already"):
         model.transform(cleaned.withColumn("said", F.lit(1)))
+
+
+def test_stored_counts_are_the_vectors(cleaned, model):
+    table = scoring.term_table(model.weights)
+    want = by_key(scoring.local_rows(cleaned, "text_processed", model.family, table))
+    rows = settle(scoring.local_counts(cleaned.select("survey_id", "text_processed"), "text_processed", model.family, table).drop("text_processed"))
+    for r in scoring.count_vectors(rows, table, len(table.terms)).collect():
+        assert r["features"].indices.tolist() == want[r["survey_id"]]["indices"] and r["features"].values.tolist() == want[r["survey_id"]]["values"]
+
+
+def test_results_are_written_once(spark, cleaned, model, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from surveyloom import session
+    from surveyloom.plans import jobs
+
+    monkeypatch.setitem(session._RUN_DIRS, spark.sparkContext.applicationId, str(tmp_path / "shared"))
+    frame = cleaned.withColumnRenamed("survey_id", "row_idx")
+    scored, summary = jobs.score_and_store(frame, [model], str(tmp_path / "analysis"), overrides={"text": "text_processed"})
+    assert scored.count() == frame.count() == summary.agg(F.sum("n_predicted")).first()[0]
+    assert not (tmp_path / "shared").exists() and sorted(p.name for p in Path(tmp_path / "analysis").iterdir()) == ["results", "summary"]

@@ -182,3 +182,17 @@ def test_spearman_reads_its_rows_once(spark, tmp_path):
     for r in found.collect():
         both = pdf[[r["left"], r["right"]]].dropna() if r["left"] != r["right"] else pdf[["b"]].assign(again=pdf["b"]).dropna()
         assert r["n"] == len(both) and abs(r["value"] - both.iloc[:, 0].rank().corr(both.iloc[:, 1].rank())) < 1e-4
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_split_by_cuts_is_the_ranked_split(spark, monkeypatch, repeated):
+    frame = spark.range(900).select(F.when(F.col("id") % (30 if repeated else 1000) == 7, 7).otherwise(F.col("id")).alias("survey_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 880, "b").alias("s"), F.col("id").alias("text"))
+    want = {(r["s"], r["split"]): r["n"] for r in sampling.stratified_split(frame, "s").groupBy("s", "split").agg(F.count("*").alias("n")).collect()}
+    rows = {r["text"]: r["split"] for r in sampling.stratified_split(frame, "s").collect()}
+    monkeypatch.setattr(sampling, "FEW_ROWS", 0)
+    by_cuts = sampling.stratified_split(frame, "s")
+    found = by_cuts.collect()
+    assert {k: sum((r["s"], r["split"]) == k for r in found) for k in want} == want and len(found) == sum(want.values())
+    if not repeated:
+        assert {r["text"]: r["split"] for r in found} == rows
+        assert "Exchange" not in by_cuts._jdf.queryExecution().executedPlan().toString()

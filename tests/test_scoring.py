@@ -103,6 +103,27 @@ def test_stored_counts_are_the_vectors(cleaned, model):
         assert r["features"].indices.tolist() == want[r["survey_id"]]["indices"] and r["features"].values.tolist() == want[r["survey_id"]]["values"]
 
 
+def test_tasks_share_rows_and_leave_none(spark, cleaned, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from surveyloom import session
+
+    monkeypatch.setitem(session._RUN_DIRS, spark.sparkContext.applicationId, str(tmp_path))
+    frame = cleaned.withColumn("detail_level", F.when(F.length("text_processed") > 900, "long").otherwise("short"))
+    alone = by_key(classify.scored_rows(classify.train_classifier(frame, "language", "language", max_features=500), frame, "language"))
+    tasks = ("language", "detail_level")
+    done = classify.train_tasks(frame, frame, tasks, "tfidf", max_features=500)
+    written = {p.name.rsplit("-", 5)[0] for p in Path(tmp_path).iterdir()}
+    assert "rows" not in written and "vectors" not in written and "term-counts" not in written
+    for task, (model, report) in zip(tasks, done, strict=True):
+        got = by_key(classify.scored_rows(model, frame, task))
+        right = sum(r["pred"] == r["y_true"] for r in got.values()) / len(got)
+        said = {r["split"]: r["value"] for r in report.where("metric = 'accuracy'").collect()}
+        assert said["train"] == pytest.approx(said["val"]) == pytest.approx(right, abs=1e-4)
+        if task == "language":
+            assert sum(got[k]["pred"] == alone[k]["pred"] for k in got) >= len(got) - 1
+
+
 def test_results_are_written_once(spark, cleaned, model, tmp_path, monkeypatch):
     from pathlib import Path
 
